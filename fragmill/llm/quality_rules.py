@@ -30,42 +30,39 @@ MAX_LINE_DOCS = 20
 MIN_DISTINCT_PERCENT = 80
 #: A document is depleted when fewer than this percentage of its words are in lines that stay.
 MIN_LEFT_PERCENT = 20
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _shifted(hashes: str, by: int) -> str:
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for ``value``: evaluated once, even where the optimizer copies the expression."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _doubled(hashes: str, by: int) -> str:
     return f"zip_with({hashes}, slice({hashes}, {by + 1}, greatest(size({hashes}), 1)), (a, b) -> xxhash64(a, b))"
 
 
-def with_base(docs: DataFrame) -> DataFrame:
-    """``docs`` with __n_words, __word_chars, __n_symbols, __n_dup_lines, __n_repeat_words and __base_failed."""
-    text = F.coalesce("text", F.lit(""))
-    df = docs.withColumns(
-        {
-            "__words": F.array_remove(F.split(text, f"{SPACE}+"), ""),
-            "__lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE)),
-            "__n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"),
-        }
-    )
-    df = df.withColumns(
-        {
-            "__n_words": F.size("__words").cast("long"),
-            "__word_chars": F.length(F.array_join("__words", "")).cast("long"),
-            "__n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "__h": F.transform("__words", lambda w: F.xxhash64(w)),
-        }
-    ).drop("__words", "__lines")
+def _repeat_words() -> str:
+    """Words of array w that lie in windows found twice or more."""
     # a window's hash is built by doubling: pairs, fours, eights; the last WINDOW - 1 places hold no whole window
-    for by in (1, 2, 4):
-        df = df.withColumn("__h", F.expr(_shifted("__h", by)))
-    df = df.withColumn("__h", F.expr(f"slice(__h, 1, greatest(size(__h) - {WINDOW - 1}, 0))"))
-    sorted_ = "sort_array(transform(__h, (h, i) -> struct(h, i)))"
-    df = df.withColumn("__s", F.expr(f"case when size(array_distinct(__h)) < size(__h) then {sorted_} end")).drop("__h")
-    places = "flatten(filter(zip_with(__s, slice(__s, 2, size(__s)), (a, b) -> if(a.h = b.h, array(a.i, b.i), null)), x -> x is not null))"
-    df = df.withColumn("__p", F.expr(f"case when __s is not null then sort_array(array_distinct({places})) end")).drop("__s")
-    steps = f"zip_with(__p, slice(__p, 2, size(__p)), (a, b) -> coalesce(least({WINDOW}, b - a), {WINDOW}))"
-    df = df.withColumn("__n_repeat_words", F.expr(f"case when __p is null then 0L else aggregate({steps}, 0L, (t, x) -> t + x) end")).drop("__p")
-    failed = (F.col("__n_words") < MIN_WORDS) | (100 * F.col("__n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__n_words"))
-    return df.withColumn("__base_failed", failed)
+    steps = f"zip_with(p, slice(p, 2, size(p)), (a, b) -> coalesce(least({WINDOW}, b - a), {WINDOW}))"
+    covered = _let("sort_array(array_distinct(flatten(filter(zip_with(s, slice(s, 2, size(s)), (a, b) -> if(a.h = b.h, array(a.i, b.i), null)), x -> x is not null))))", "p", f"aggregate({steps}, 0L, (t, x) -> t + x)")
+    in_order = _let("sort_array(transform(h, (x, i) -> struct(x as h, i as i)))", "s", covered)
+    counted = f"if(size(array_distinct(h)) = size(h), 0L, {in_order})"
+    whole = _let(f"slice(h4, 1, greatest(size(h4) - {WINDOW - 1}, 0))", "h", counted)
+    fours = _let(_doubled("h2", 4), "h4", whole)
+    return _let("transform(w, x -> xxhash64(x))", "h0", _let(_doubled("h0", 1), "h1", _let(_doubled("h1", 2), "h2", fours)))
+
+
+def base(text: str = "text") -> Column:
+    """struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) of column ``text``."""
+    lines = _let(f"filter(split(t, '\\n'), x -> x rlike '{NOT_SPACE}')", "l", "cast(size(l) - size(array_distinct(l)) as bigint)")
+    symbols = f"cast(length(t) - length(regexp_replace(t, '{SYMBOLS}', '')) as bigint)"
+    counts = f"struct(cast(size(w) as bigint) as n_words, cast(length(array_join(w, '')) as bigint) as word_chars, {symbols} as n_symbols, {lines} as n_dup_lines, {_repeat_words()} as n_repeat_words)"
+    failed = f"b.n_words < {MIN_WORDS} or 100 * b.n_repeat_words > {MAX_REPEAT_PERCENT} * b.n_words"
+    names = ", ".join(f"b.{x} as {x}" for x in COUNTS)
+    whole = _let(counts, "b", f"struct({names}, {failed} as base_failed)")
+    return F.expr(_let(f"coalesce({text}, '')", "t", _let(f"array_remove(split(t, '{SPACE}+'), '')", "w", whole)).replace("\\x", "\\\\x").replace("\\n", "\\\\n"))
 
 
 def _normalised(line: Column) -> Column:
@@ -83,8 +80,8 @@ def depleted(docs: DataFrame) -> DataFrame:
         }
     ).drop("lines")
     document = F.xxhash64(F.array_min("h"), F.array_max("h"))
-    held = hashed.select("host", document.alias("document"), F.explode(F.array_distinct("h")).alias("h"))
-    per_document = held.groupBy("host", "h", "document").agg(F.count("*").alias("n"))
+    held = hashed.select("host", document.alias("document"), F.explode_outer(F.array_distinct("h")).alias("h"))
+    per_document = held.where("h is not null").groupBy("host", "h", "document").agg(F.count("*").alias("n"))
     frequent = (
         per_document.groupBy("host", "h")
         .agg(F.count("*").alias("distinct_docs"), F.sum("n").alias("docs"))
@@ -92,7 +89,7 @@ def depleted(docs: DataFrame) -> DataFrame:
         .select("host", "h")
     )
     total = F.aggregate("w", F.lit(0), lambda t, x: t + x)
-    occurring = hashed.select("doc_id", "text_hash", "host", total.alias("total"), F.posexplode(F.arrays_zip("h", "w")).alias("place", "line"))
+    occurring = hashed.select("doc_id", "text_hash", "host", total.alias("total"), F.posexplode_outer(F.arrays_zip("h", "w")).alias("place", "line"))
     occurring = occurring.select("doc_id", "text_hash", "host", "total", "place", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
     removed = occurring.join(frequent, ["host", "h"]).select("doc_id", "text_hash", "total", "place", "w").distinct()
     return (
@@ -106,16 +103,16 @@ def depleted(docs: DataFrame) -> DataFrame:
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of every row."""
     docs = docs.select("doc_id", "text", "source")
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    base = with_base(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("text_hash"), *(F.col(f"__{x}").alias(x) for x in names))
+    names = [*COUNTS, "base_failed"]
+    counts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), base().alias("b")).select("doc_id", "text_hash", "b.*")
     gone = depleted(docs).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), F.lit(True).alias("gone"))
-    joined = base.join(gone, base.doc_id.eqNullSafe(gone.gone_id) & (base.text_hash == gone.gone_hash), "left")
+    joined = counts.join(gone, counts.doc_id.eqNullSafe(gone.gone_id) & (counts.text_hash == gone.gone_hash), "left")
     return joined.select("doc_id", *names, (~F.col("base_failed") & F.col("gone").isNull()).alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``quality`` rejects; all columns pass through, and good rows aren't shuffled."""
-    good = with_base(docs).where("not __base_failed").select(*(F.col(f"`{c}`") for c in docs.columns))
+    good = docs.where(~base().getField("base_failed"))
     gone = depleted(docs.select("doc_id", "text", "source"))
     maybe, sure = split_by_ids(good, gone.select("doc_id"))
     pairs = gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash"))
