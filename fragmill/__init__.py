@@ -1,0 +1 @@
+"""Short-read analytics as DataFrame transformations."""
