@@ -155,7 +155,7 @@ def header(contigs: DataFrame, sort_order: str = "coordinate", read_groups: list
     """The text header: @HD, @SQ in contig order (M5 if ``contigs`` has md5), @RG, @PG. Contigs are few."""
     lines = [f"@HD\tVN:1.0\tSO:{sort_order}"]
     for r in contigs.orderBy("id").collect():
-        extra = [f"AS:{assembly}"] * bool(assembly) + [f"M5:{r['md5']}"] * ("md5" in contigs.columns and bool(r["md5"])) + [f"SP:{species}"] * bool(species)
+        extra = [f"AS:{assembly}"] * bool(assembly) + ([f"M5:{r['md5']}"] if "md5" in contigs.columns and r["md5"] else []) + [f"SP:{species}"] * bool(species)
         lines.append("\t".join(["@SQ", f"SN:{r['name']}", f"LN:{r['length']}", *extra]))
     for group in read_groups:
         if not {"ID", "SM"} <= set(group):
