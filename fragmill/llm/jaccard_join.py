@@ -6,11 +6,12 @@ Operator 10. Two documents link when the Jaccard similarity of their word-shingl
 * The n-gram order is cut into fragments. The first fragment (the lowest 3/8 of the hash range) is shuffled for
   all classes: a class that shares too few of its n-grams there can link with nothing and is done. At similarity
   3/4 a text may miss a quarter of its n-grams in its partner, so every fragment of over a quarter prunes exactly.
-* For the rest, n-grams are ordered by rising document frequency. With ``u`` n-grams that nobody else has,
-  overlap(x, y) <= min(n_x - u_x, n_y - u_y) and the union holds u_x + u_y more, which bounds the similarity of a
-  pair before it is made. Only n-grams of the prefix (a quarter plus one, rarest first) make candidates.
-* Links first go to one anchor each (fewest own n-grams in its buckets), then, between documents that are still in
-  different components, to all pairs within the bound: exact, and linear for groups of near copies.
+* For the rest, n-grams are ordered by rising document frequency. With ``u`` n-grams that nobody else has, two
+  documents share at most min(n_x - u_x, n_y - u_y), which bounds a pair's similarity before it is made. Only n-grams of the prefix (a quarter plus one, rarest first) make candidates.
+* Each document is first measured against one anchor (the one with fewest own n-grams in its buckets). Documents that
+  are still in different components then meet pairwise, where a bound allows it: of one anchor, they share at most the
+  lesser of their overlaps with it, and outside it at most their n-grams that somebody else has. So a copy too far from
+  its group's anchor meets almost none of the group, and none of a group's pairs within a component are made.
 * A candidate's overlap is counted fragment by fragment and summed per pair.
 
 Null text, or text without words: no set, linked with nothing, its own component. Repeated rows and equal texts
@@ -38,7 +39,7 @@ NUMERATOR, DENOMINATOR = 3, 4
 #: The first fragment of the order: hashes below this.
 FIRST = np.uint64((1 << 64) * 3 // 8)
 #: Fragments in which a candidate's overlap is counted; a power of two.
-FRAGMENTS = 8
+FRAGMENTS = 2
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,18 +96,20 @@ def _distinct_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("before", F.lag("fp").over(in_order)).where("before is null or before != fp").drop("before")
 
 
-def _may_link(n_x: Column, u_x: Column, n_y: Column, u_y: Column) -> Column:
-    most = F.least(n_x - u_x, n_y - u_y)
-    return (DENOMINATOR * most >= NUMERATOR * (most + u_x + u_y)) & (DENOMINATOR * F.least(n_x, n_y) >= NUMERATOR * F.greatest(n_x, n_y))
+def _may_link(n_x: Column, n_y: Column, most: Column) -> Column:
+    """Whether sets of these sizes can link if they share at most ``most``."""
+    return (DENOMINATOR * most >= NUMERATOR * (n_x + n_y - most)) & (DENOMINATOR * F.least(n_x, n_y) >= NUMERATOR * F.greatest(n_x, n_y))
 
 
-def _verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """The linked ones of ``pairs`` (x, y, n_x, n_y): partial overlaps by fragment, summed per pair."""
+def _measured(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """``pairs`` (x, y, n_x, n_y) with ``common``: partial overlaps by fragment, summed per pair."""
     of_y = segments.select(F.col("fp").alias("y"), "fragment", F.col("segment").alias("segment_y"))
     of_x = segments.select(F.col("fp").alias("x"), "fragment", F.col("segment").alias("segment_x"))
     partial = pairs.join(of_y, "y").join(of_x, ["x", "fragment"]).select("x", "y", "n_x", "n_y", F.size(F.array_intersect("segment_x", "segment_y")).alias("common"))
-    total = partial.groupBy("x", "y").agg(F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"), F.sum("common").alias("common"))
-    return total.where(f"{DENOMINATOR} * common >= {NUMERATOR} * (n_x + n_y - common)").select("x", "y")
+    return partial.groupBy("x", "y").agg(F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"), F.sum("common").alias("common"))
+
+
+LINKED = f"{DENOMINATOR} * common >= {NUMERATOR} * (n_x + n_y - common)"
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -139,10 +142,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
 
     n, u = F.col("n"), F.col("u")
-    prefix = materialise(
-        nodes.select("fp", "n", "u", F.explode(F.slice("grams", F.lit(1), (_missable(n) + 1 - u).cast("int"))).alias("gram")).select("fp", "n", "u", F.col("gram.h").alias("h")),
-        "jaccard-prefix",
-    )
+    keys = nodes.select("fp", "n", "u", F.slice(F.col("grams.h"), F.lit(1), (_missable(n) + 1 - u).cast("int")).alias("keys"))
+    prefix = materialise(keys.select("fp", "n", "u", F.posexplode("keys").alias("place", "h")), "jaccard-prefix")
     fragment = F.shiftrightunsigned(F.col("gram.h"), 64 - (FRAGMENTS.bit_length() - 1)).cast("int")
     segments = nodes.select("fp", F.explode("grams").alias("gram")).groupBy("fp", fragment.alias("fragment")).agg(F.collect_list("gram.h").alias("segment"))
     segments = materialise(segments, "jaccard-segments")
@@ -151,31 +152,42 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     to_anchor = (
         prefix.join(anchors, "h")
         .where("a.fp != fp")
-        .where(_may_link(n, u, F.col("a.n"), F.col("a.u")))
+        .where(_may_link(n, F.col("a.n"), F.least(n - u, F.col("a.n") - F.col("a.u"))))
         .groupBy("fp")
         .agg(F.min("a").alias("a"), F.first("n").alias("n_y"))
         .select(F.col("a.fp").alias("x"), F.col("fp").alias("y"), F.col("a.n").alias("n_x"), "n_y")
     )
-    links = materialise(_verified(to_anchor, segments), "jaccard-links")
+    anchored = materialise(_measured(to_anchor, segments), "jaccard-anchored")
+    links = anchored.where(LINKED).select("x", "y")
     roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), "jaccard-1")
+    held = anchored.select(F.col("y").alias("fp"), F.col("x").alias("anchor"), F.col("common").alias("in_anchor"))
 
+    # what two documents share is within their anchor (at most the lesser of their overlaps with it) or outside it
     placed = prefix.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     apart = placed.groupBy("h").agg(F.min("u").alias("least_u"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h", "least_u")
-    open_ = placed.join(apart, "h").where(DENOMINATOR * (n - u) >= NUMERATOR * (n + F.col("least_u")))
-    open_ = materialise(open_.select("h", "fp", "n", "u", "root"), "jaccard-open")
+    open_ = placed.join(apart, "h").where(DENOMINATOR * (n - u) >= NUMERATOR * (n + F.col("least_u"))).join(held, "fp", "left")
+    open_ = open_.join(keys.select("fp", "keys"), "fp").withColumn("earlier", F.slice("keys", F.lit(1), F.col("place")))
+    open_ = materialise(open_.select("h", "fp", "n", "u", "root", "earlier", F.coalesce("anchor", "fp").alias("anchor"), F.coalesce("in_anchor", n).alias("in_anchor")), "jaccard-open")
     x, y = open_.alias("x"), open_.alias("y")
+    outside = F.least(*(F.greatest(F.expr(f"{s}.n - {s}.u - {s}.in_anchor"), F.lit(0)) for s in "xy"))
+    within = F.least("x.in_anchor", "y.in_anchor") + outside
+    most = F.least(F.expr("x.n - x.u"), F.expr("y.n - y.u"), F.when(F.col("x.anchor") == F.col("y.anchor"), within).otherwise(F.col("x.n")))
     rest = (
         x.join(
             y,
             (F.col("x.h") == F.col("y.h"))
             & (F.col("x.root") != F.col("y.root"))
             & (F.struct("x.u", "x.fp") < F.struct("y.u", "y.fp"))
-            & _may_link(F.col("x.n"), F.col("x.u"), F.col("y.n"), F.col("y.u")),
+            & (F.col("y.anchor") != F.col("x.fp"))
+            & (F.col("x.anchor") != F.col("y.fp"))
+            & _may_link(F.col("x.n"), F.col("y.n"), most)
+            # a pair is made once: in the first bucket that both are in
+            & ~F.arrays_overlap("x.earlier", "y.earlier"),
         )
         .select(F.col("x.fp").alias("x"), F.col("y.fp").alias("y"), F.col("x.n").alias("n_x"), F.col("y.n").alias("n_y"))
         .distinct()
     )
-    more = materialise(_verified(rest, segments), "jaccard-links")
+    more = materialise(_measured(rest, segments).where(LINKED).select("x", "y"), "jaccard-links")
     every = reduce(DataFrame.union, [links, more]).select(F.col("x").alias("a"), F.col("y").alias("b"))
     roots = components(every, "jaccard-2")
 
