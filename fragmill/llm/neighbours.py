@@ -31,6 +31,8 @@ WANTED, SHARE = 5, 0.12
 #: First half-width of a window in standard deviations of the projections, and its growth.
 FIRST, GROWTH = 0.5, 1.25
 ROW_BLOCK, QUERY_BLOCK = 16_384, 1_024
+#: Projections compared at once; a divisor of PROJECTIONS.
+AT_ONCE = 8
 SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -52,34 +54,53 @@ def _search(count: int, top_norm: float) -> Callable[[pd.DataFrame, pd.DataFrame
             lifted = np.c_[data, np.sqrt(np.maximum(top_norm**2 - (data**2).sum(1), 0))]
             lines = np.random.default_rng(data.shape[1]).standard_normal((lifted.shape[1], PROJECTIONS))
             projected = lifted @ lines
-            order = np.asfortranarray(np.argsort(projected, axis=0, kind="stable").astype(np.int32))
+            n = len(ids)
+            order = np.argsort(projected, axis=0, kind="stable")
             arrays = np.asfortranarray(np.take_along_axis(projected, order, 0))
+            # each row's place in each sorted array, a projection a line; unsigned, so that one comparison tells a window
+            places = np.empty((PROJECTIONS, n), np.uint16 if n < 1 << 16 else np.uint32)
+            np.put_along_axis(places, order.T, np.arange(n, dtype=places.dtype)[None], 1)
             spread = projected.std(0) + 1e-12
-            enough = min(len(ids), max(WANTED * count, int(SHARE * len(ids))) + 1)
+            enough = min(n, max(WANTED * count, int(SHARE * n)) + 1)
             asked, points = queries["vec_id"].to_numpy(np.int64), np.stack(queries["embedding"].to_numpy()).astype(float)
             centred = (points * (top_norm / np.linalg.norm(points, axis=1))[:, None]) @ lines[:-1]
-            open_, width = np.arange(len(asked)), FIRST
-            collisions = np.zeros((len(asked), len(ids)), np.uint8)
-            middle = np.stack([np.searchsorted(arrays[:, p], centred[:, p]) for p in range(PROJECTIONS)], 1)
-            low, high = middle, middle.copy()
-            while len(open_):
-                left = []
-                wider_low = np.stack([np.searchsorted(arrays[:, p], centred[open_, p] - width * spread[p]) for p in range(PROJECTIONS)], 1)
-                wider_high = np.stack([np.searchsorted(arrays[:, p], centred[open_, p] + width * spread[p], side="right") for p in range(PROJECTIONS)], 1)
-                for at, q in enumerate(open_):
-                    # only what the wider windows add is counted
-                    rings = [order[wider_low[at, p] : low[q, p], p] for p in range(PROJECTIONS)] + [order[high[q, p] : wider_high[at, p], p] for p in range(PROJECTIONS)]
-                    collisions[q] += np.bincount(np.concatenate(rings), minlength=len(ids)).astype(np.uint8)
-                    low[q], high[q] = wider_low[at], wider_high[at]
-                    found = np.flatnonzero(collisions[q] >= THRESHOLD)
-                    if len(found) < enough and (high[q] - low[q]).min() < len(ids):
-                        left.append(q)
-                        continue
-                    found = found[ids[found] != asked[q]]
-                    scores = np.einsum("ij,j->i", data[found], points[q])
-                    best = np.lexsort((ids[found], -scores))[:count]
-                    out.append((np.full(len(best), asked[q]), ids[found[best]], scores[best]))
-                open_, width = np.array(left, np.int64), width * GROWTH
+            windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            away, inside = np.empty((AT_ONCE, n), places.dtype), np.empty((AT_ONCE, n), bool)
+
+            def opened(step: int) -> tuple[np.ndarray, np.ndarray]:
+                """First place and length of every query's windows (queries x projections) after ``step`` widenings."""
+                if step not in windows:
+                    reach = FIRST * GROWTH**step * spread
+                    low = np.stack([np.searchsorted(arrays[:, p], centred[:, p] - reach[p]) for p in range(PROJECTIONS)], 1)
+                    high = np.stack([np.searchsorted(arrays[:, p], centred[:, p] + reach[p], side="right") for p in range(PROJECTIONS)], 1)
+                    windows[step] = low.astype(places.dtype), (high - low).astype(places.dtype)
+                return windows[step]
+
+            def collided(q: int, step: int) -> np.ndarray:
+                """Rows that are in at least THRESHOLD of the query's windows."""
+                low, length = opened(step)
+                collisions = np.zeros(n, np.uint8)
+                for p in range(0, PROJECTIONS, AT_ONCE):
+                    np.subtract(places[p : p + AT_ONCE], low[q, p : p + AT_ONCE, None], out=away)
+                    np.less(away, length[q, p : p + AT_ONCE, None], out=inside)
+                    collisions += np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
+                return np.flatnonzero(collisions >= THRESHOLD)
+
+            step = 0
+            for q in range(len(asked)):
+                # wider windows hold what narrower ones do, so the first step with enough rows is sought from the last query's
+                found = collided(q, step)
+                if len(found) < enough:
+                    while len(found) < enough:
+                        step += 1
+                        found = collided(q, step)
+                else:
+                    while step and len(less := collided(q, step - 1)) >= enough:
+                        step, found = step - 1, less
+                found = found[ids[found] != asked[q]]
+                scores = np.einsum("ij,j->i", data[found], points[q])
+                best = np.lexsort((ids[found], -scores))[:count]
+                out.append((np.full(len(best), asked[q]), ids[found[best]], scores[best]))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
