@@ -58,7 +58,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Reachability and best-fit packing aren't expressible in SQL; tests/llm holds brute-force versions.
+#: Best-fit packing isn't expressible in SQL; tests/llm holds brute-force versions of the stages' operators.
 ORACLE_SQL = None
 
 
