@@ -2,9 +2,10 @@
 
 Operator 2. Nearness is the inner product. Vectors are lifted to one norm (one more component), which turns the
 largest inner product into the least distance. A hash is a single random projection; a block of rows keeps each
-projection's values as a sorted array. A query opens windows centred on its own projections and widens them step by
-step (virtual rehashing, no tables are rebuilt); rows that fall into at least THRESHOLD of the windows are candidates,
-and once there are enough of them they are verified by their exact inner product in double precision.
+projection's values as a sorted array. A query opens windows centred on its own projections, of the
+least width in a growing series (virtual rehashing, no tables are rebuilt) at which enough rows collide, that is, fall
+into at least THRESHOLD of the windows. These are verified by their exact inner product in double precision. A row is in
+a window if its place in the sorted array is; places are compared for a whole block at once.
 
 Queries are a stated set. They meet all rows in blocks: rows and queries are dealt by hash, every block of queries
 goes to every block of rows, and the blocks' nearest are merged per query. Blocks have a bounded size.
