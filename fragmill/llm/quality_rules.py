@@ -4,9 +4,9 @@ Operator 7. Base rules look at one document (word, symbol, line and 8-word-windo
 per host (the ``source`` column), in how many distinct documents each normalised line occurs, removes lines above
 the limit and rejects documents that are depleted.
 
-Copies of one document are one document: a document is told apart by the least and the greatest hash of its lines,
-and a line only counts as boilerplate if most of the documents that hold it are different ones. So a group of
-copies is left to the deduplication operators and is not rejected as a whole.
+Copies of one document are one document: a document is told apart by a hash of the set of its normalised lines, and a
+line is boilerplate of its host if more than MAX_LINE_DOCS different documents hold it. So a group of copies counts
+once, is left to the deduplication operators and neither makes a line frequent nor masks that others hold it.
 
 Null or empty text: no words, base_failed. Null source: a host of its own. Repeated rows get equal results, and count
 as one document. Only doc_id, text and source are read.
@@ -24,10 +24,8 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: A line in more distinct documents of a host than this is removed ...
+#: A line in more distinct documents of a host than this is removed.
 MAX_LINE_DOCS = 20
-#: ... if at least this percentage of the documents that hold it are distinct.
-MIN_DISTINCT_PERCENT = 80
 #: A document is depleted when fewer than this percentage of its words are in lines that stay.
 MIN_LEFT_PERCENT = 20
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -79,15 +77,10 @@ def depleted(docs: DataFrame) -> DataFrame:
             "w": F.transform("lines", lambda x: F.size(F.array_remove(F.split(x, f"{SPACE}+"), ""))),
         }
     ).drop("lines")
-    document = F.xxhash64(F.array_min("h"), F.array_max("h"))
-    held = hashed.select("host", document.alias("document"), F.explode_outer(F.array_distinct("h")).alias("h"))
-    per_document = held.where("h is not null").groupBy("host", "h", "document").agg(F.count("*").alias("n"))
-    frequent = (
-        per_document.groupBy("host", "h")
-        .agg(F.count("*").alias("distinct_docs"), F.sum("n").alias("docs"))
-        .where((F.col("distinct_docs") > MAX_LINE_DOCS) & (100 * F.col("distinct_docs") >= MIN_DISTINCT_PERCENT * F.col("docs")))
-        .select("host", "h")
-    )
+    lines_of_one = hashed.select("host", F.array_sort(F.array_distinct("h")).alias("h"))
+    held = lines_of_one.select("host", F.xxhash64("h").alias("document"), F.explode_outer("h").alias("h"))
+    per_document = held.where("h is not null").select("host", "h", "document").distinct()
+    frequent = per_document.groupBy("host", "h").agg(F.count("*").alias("distinct_docs")).where(F.col("distinct_docs") > MAX_LINE_DOCS).select("host", "h")
     total = F.aggregate("w", F.lit(0), lambda t, x: t + x)
     occurring = hashed.select("doc_id", "text_hash", "host", total.alias("total"), F.posexplode_outer(F.arrays_zip("h", "w")).alias("place", "line"))
     occurring = occurring.select("doc_id", "text_hash", "host", "total", "place", F.col("line.h").alias("h"), F.col("line.w").alias("w"))

@@ -87,6 +87,15 @@ def test_boilerplate(spark):
     assert not any(got[k] for k in range(30)) and all(got[100 + k] for k in range(40))
 
 
+def test_boilerplate_of_pages_that_share_lines(spark):
+    spelt = lambda text: re.sub("[0-9]", lambda m: chr(97 + int(m[0])), text)
+    shared = [spelt(prose(50 + k, 15)) for k in range(8)]
+    pages = [(k, "\n".join([*shared, spelt(f"own {k}"), spelt(f"end {k}")]), "en", "s", 0, 1, "f") for k in range(60)]
+    copies = [(100 + k, "\n".join([*shared, *(spelt(prose(70 + j)) for j in range(10))]), "en", "s", 0, 1, "f") for k in range(40)]
+    got = {r.doc_id: r.kept for r in quality_rules.quality(spark.createDataFrame(pages + copies, SCHEMA)).collect()}
+    assert not any(got[k] for k in range(60)) and all(got[100 + k] for k in range(40))
+
+
 def test_secrets(spark):
     hexes = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(40)]
     tokens = [hashlib.sha256(str(k).encode()).hexdigest().upper() for k in range(60)]
