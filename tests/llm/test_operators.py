@@ -221,3 +221,18 @@ def test_urls(spark):
     got = {r.page_id: r for r in url_filter.judge(pages, labels).collect()}
     assert [(got[k].host, got[k].path, got[k].rule) for k in range(8)] == [("a.example.net", "/en/x", "example.net/en/"), ("net", "/en", "net/"), ("sub.example.com", "/de/1", "example.com/de/"), ("org", "/fr/", "org/fr/"), ("forg", "/fr/", None), ("", "", None), ("", "", None), ("h", "", None)]
     assert all(got[100 + k].verdict == ("block" if k % 2 else "allow") for k in range(200))
+
+
+def judged_urls(spark, bad, good):
+    urls = [(u, 0) for u in bad] + [(u, 1) for u in good]
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, q, 0) for k, (_, q) in enumerate(urls)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, labels).collect()}
+    assert len(got) == len(urls)
+    return [got[k] for k in range(len(bad))], [got[len(bad) + k] for k in range(len(good))]
+
+
+def test_urls_of_many_bad_hosts(spark):
+    bad = [f"http://www.bad{chr(97 + h)}.com/en/{k}" for h in range(12) for k in range(20 + h)]
+    blocked, allowed = judged_urls(spark, bad, [f"http://www.good.com/en/{k}" for k in range(400)])
+    assert set(blocked) == {"block"} and set(allowed) == {"allow"}
