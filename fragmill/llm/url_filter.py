@@ -6,7 +6,7 @@ quality 0 or toxic 1 for its id); combinations that imply a bad page with enough
 part of them does as well, and matched by an inverted index: each rule is filed under its rarest token, and a page is
 compared only with the rules filed under one of its own tokens.
 
-The first MAX_TOKENS tokens of a URL are mined; a counted pass first leaves out what can't change the rules: tokens in too few bad
+All tokens of a URL are mined, but a counted pass first leaves out what can't change the rules: tokens in too few bad
 pages; all but one of tokens that are in the same labelled pages (a class; a page with any of them has the class); and
 tokens that only bad pages have, each of which is a rule that no combination betters. All rules left are matched.
 
@@ -25,7 +25,7 @@ from fragmill.llm.common import materialise
 
 #: Fixed rules: (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-TRAIN_PAGES, MAX_TOKENS = 200_000, 12
+TRAIN_PAGES = 200_000
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.002, 15, 0.6
 BAD = "//bad"
 
@@ -74,7 +74,7 @@ def mine(pages: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     bad = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
     n = bad.count()
     some = bad.where(F.pmod(F.xxhash64("page_id"), F.lit(max(1, -(-n // TRAIN_PAGES)))) == 0)
-    baskets = materialise(pages.select("page_id", F.slice("tokens", 1, MAX_TOKENS).alias("tokens")).dropDuplicates(["page_id"]).join(some, "page_id"), "url-baskets")
+    baskets = materialise(pages.select("page_id", "tokens").dropDuplicates(["page_id"]).join(some, "page_id"), "url-baskets")
     total = baskets.count()
     no_rules = spark.createDataFrame([], "antecedent array<string>, confidence double, support double")
     if not total:

@@ -236,3 +236,19 @@ def test_urls_of_many_bad_hosts(spark):
     bad = [f"http://www.bad{chr(97 + h)}.com/en/{k}" for h in range(12) for k in range(20 + h)]
     blocked, allowed = judged_urls(spark, bad, [f"http://www.good.com/en/{k}" for k in range(400)])
     assert set(blocked) == {"block"} and set(allowed) == {"allow"}
+
+
+def test_urls_told_by_a_late_token(spark):
+    bad = [f"http://www.bad-bets.example.com/en/a/b/casino/{k}" for k in range(30)]
+    blocked, allowed = judged_urls(spark, bad, [f"http://www.bad-bets.example.com/en/a/b/news/{k}" for k in range(60)])
+    assert set(blocked) == {"block"} and set(allowed) == {"allow"}
+
+
+def test_urls_of_a_combination(spark):
+    # neither token tells alone; 'slots' and 'jackpot' are in the same labelled pages, so either tells with 'free'
+    bad = [f"http://h.com/free/slots/jackpot/{k}" for k in range(30)]
+    good = [f"http://h.com/free/{k}" for k in range(60)] + [f"http://h.com/slots/jackpot/{k}" for k in range(60)]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate([*bad, *good, "http://x.org.uk/free/jackpot", "http://x.org.uk/slots/jackpot", None])], "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(k >= 30), 0) for k in range(150)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, labels).collect()}
+    assert all(got[k] == ("block" if k < 30 or k == 150 else "allow") for k in range(153))
