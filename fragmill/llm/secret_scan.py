@@ -9,7 +9,9 @@ tail has a closed form.
 False discoveries are controlled by encoding and length band over the whole input: p-values of random strings are
 uniform, those of other strings pile up near 0, so twice the count above 1/2 estimates the random ones. A band's
 threshold is the least p at which the estimated share of others above it is at most FALSE_SHARE. The counts are a
-histogram of fixed size.
+histogram of fixed size over distinct strings, so copies of a document move no threshold. A band of fewer than SPARSE
+distinct strings goes by the histogram of all bands of its encoding; where that is sparse too, nothing can be
+estimated, and strings from bin FALLBACK on (p of at least FALLBACK / BINS) are taken as random.
 
 Positions are code points, end exclusive. Null and empty texts have no spans. A random string that overlaps a base
 span is left to that span. Repeated rows get equal results; only doc_id and text are read.
@@ -38,6 +40,8 @@ ENCODINGS = (
     (64, "^.*$", UPPER + LOWER + DIGITS + "+/"),
 )
 BINS, FALSE_SHARE = 50, 0.1
+#: Fewer distinct strings than this give no histogram; without one, the least bin that is taken as random.
+SPARSE, FALLBACK = 50, 5
 REDACTED = "[secret]"
 
 
@@ -89,7 +93,7 @@ STEPS = (
 KEPT = ("start", "kind", "end", "k", "band", "bin")
 
 
-def _tested(df: DataFrame) -> DataFrame:
+def _tested(df: DataFrame, kept_of_run: tuple[str, ...] = KEPT) -> DataFrame:
     """``df`` with __runs: the mixed strings of column __text, each with its encoding, length band and p-value's bin."""
     df = df.withColumn("__runs", _located("__text", RANDOM, len(BASE), 1))
     cut = "filter(transform(__runs, r -> struct(r.start as start, r.kind as kind, r.end as end, substring(__text, r.start + 1, r.end - r.start) as value)), r -> r.value rlike '[0-9]' and r.value rlike '[A-Za-z]')"
@@ -98,20 +102,27 @@ def _tested(df: DataFrame) -> DataFrame:
         kept = ", ".join(f"r.{x} as {x}" for x in fields)
         df = df.withColumn("__runs", F.expr(f"transform(__runs, r -> struct({kept}, {step} as {name}))"))
         fields.append(name)
-    return df.withColumn("__runs", F.expr("transform(__runs, r -> struct(" + ", ".join(f"r.{x} as {x}" for x in KEPT) + "))"))
+    return df.withColumn("__runs", F.expr("transform(__runs, r -> struct(" + ", ".join(f"r.{x} as {x}" for x in kept_of_run) + "))"))
 
 
 def thresholds(docs: DataFrame) -> DataFrame:
     """(k, band, least): the least bin that is taken as random, by encoding and length band; bounded in size."""
     texts = docs.where(F.col("text").rlike(RANDOM)).select(F.col("text").alias("__text"))
-    tested = _tested(texts).select(F.explode("__runs").alias("r")).select("r.k", "r.band", "r.bin")
-    counts = tested.groupBy("k", "band", "bin").agg(F.count("*").alias("n"))
+    tested = _tested(texts, ("k", "band", "bin", "value")).select(F.explode("__runs").alias("r"))
+    strings = tested.select("r.k", "r.band", "r.bin", F.xxhash64("r.value").alias("h")).distinct()
+    own = strings.groupBy("k", "band", "bin").agg(F.count("*").alias("n"))
+    # band -1 is all bands of an encoding
+    counts = own.withColumn("band", F.explode(F.array("band", F.lit(-1)))).groupBy("k", "band", "bin").agg(F.sum("n").alias("n"))
     down, whole = Window.partitionBy("k", "band").orderBy(F.desc("bin")), Window.partitionBy("k", "band")
     upper = F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).over(whole)
     counts = counts.withColumns({"above": F.sum("n").over(down), "random": 2 * upper})
     false = F.greatest(F.col("above") - F.col("random") * (1 - F.col("bin") / BINS), F.lit(0.0))
-    taken = counts.where((F.col("bin") >= 1) & (false <= FALSE_SHARE * F.col("above")))
-    return taken.groupBy("k", "band").agg(F.min("bin").alias("least"))
+    taken = F.when((F.col("bin") >= 1) & (false <= FALSE_SHARE * F.col("above")), F.col("bin"))
+    # BINS: no string of the band passes
+    found = counts.groupBy("k", "band").agg(F.sum("n").alias("n"), F.coalesce(F.min(taken), F.lit(BINS)).alias("least"))
+    pooled = found.where("band = -1").select("k", F.col("n").alias("pooled_n"), F.col("least").alias("pooled"))
+    least = F.when(F.col("n") >= SPARSE, F.col("least")).when(F.col("pooled_n") >= SPARSE, F.col("pooled")).otherwise(FALLBACK)
+    return found.where("band != -1").join(F.broadcast(pooled), "k").select("k", "band", least.alias("least"))
 
 
 def with_spans(docs: DataFrame) -> DataFrame:

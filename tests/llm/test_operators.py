@@ -112,6 +112,24 @@ def test_secrets(spark):
     assert clean[2] == "x [secret] y" and clean[len(texts) - 3] is None
 
 
+def test_secrets_beside_copies(spark):
+    def found(texts):
+        rows = secret_scan.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        return {r.doc_id: "random" in r.spans for r in rows}
+
+    keys = [f"key {hashlib.sha256(str(k).encode()).hexdigest().upper()} end" for k in range(300)]
+    alone = found(keys)
+    assert sum(alone.values()) > 240
+    limits = secret_scan.thresholds(spark.createDataFrame([(t,) for t in keys], "text string")).collect()
+    binned = secret_scan._tested(spark.createDataFrame([(k, t) for k, t in enumerate(keys)], "doc_id long, __text string")).collect()
+    hot = next(r.doc_id for r in binned if 12 <= r["__runs"][0].bin <= 16)
+    assert [x.least for x in limits] and alone[hot]
+    beside = found(keys + [keys[hot]] * 9_000)
+    assert all(beside[k] == alone[k] for k in range(300)) and all(beside[k] for k in range(300, 9_300))
+    # one string alone is judged by the fallback threshold
+    assert found([keys[hot]]) == {0: True} and found(["aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1"]) == {0: False}
+
+
 def test_substrings(spark, docs):
     rows = sorted({(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None and r.text is not None})
     seen, want = {}, {}
