@@ -2,7 +2,7 @@
 
 Operator 7. Base rules look at one document (word, symbol, line and 8-word-window counts). The method then counts,
 per host (the ``source`` column), in how many distinct documents each normalised line occurs, removes lines above
-the limit and rejects documents that are depleted.
+the limit and rejects documents that are depleted: ``quality`` judges, ``keep_good`` returns the texts that are left.
 
 Copies of one document are one document: a document is told apart by a hash of the set of its normalised lines, and a
 line is boilerplate of its host if more than MAX_LINE_DOCS different documents hold it. So a group of copies counts
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import split_by_ids
+from fragmill.llm.common import materialise, split_by_ids
 
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -67,10 +67,17 @@ def _normalised(line: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, f"{SPACE}+", " "))), "[0-9]", "0")
 
 
-def depleted(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash) of the documents whose lines are mostly boilerplate of their host."""
+def _host() -> Column:
+    return F.coalesce("source", F.lit(""))
+
+
+def boilerplate(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, lines, depleted) of the documents that hold frequent lines of their host.
+
+    ``lines`` are (host, h) of the frequent lines; depleted tells whether most of the words are in such lines.
+    """
     text = F.coalesce("text", F.lit(""))
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("source", F.lit("")).alias("host"), F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE)).alias("lines"))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _host().alias("host"), F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE)).alias("lines"))
     hashed = lines.withColumns(
         {
             "h": F.transform("lines", lambda x: F.xxhash64(_normalised(x))),
@@ -84,15 +91,19 @@ def depleted(docs: DataFrame) -> DataFrame:
     total = F.aggregate("w", F.lit(0), lambda t, x: t + x)
     occurring = hashed.select("doc_id", "text_hash", "host", total.alias("total"), F.posexplode_outer(F.arrays_zip("h", "w")).alias("place", "line"))
     occurring = occurring.select("doc_id", "text_hash", "host", "total", "place", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
-    removed = occurring.join(frequent, ["host", "h"]).select("doc_id", "text_hash", "total", "place", "w").distinct()
+    removed = occurring.join(frequent, ["host", "h"]).groupBy("doc_id", "text_hash", "total", "place", "w").agg(F.collect_set(F.struct("host", "h")).alias("lines"))
     return (
         removed.groupBy("doc_id", "text_hash")
-        .agg(F.sum("w").alias("gone"), F.max("total").alias("total"))
-        .where(100 * (F.col("total") - F.col("gone")) < MIN_LEFT_PERCENT * F.col("total"))
-        .select("doc_id", "text_hash")
+        .agg(F.sum("w").alias("gone"), F.max("total").alias("total"), F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
+        .select("doc_id", "text_hash", "lines", (100 * (F.col("total") - F.col("gone")) < MIN_LEFT_PERCENT * F.col("total")).alias("depleted"))
     )
 
 
+def depleted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash) of the documents whose lines are mostly boilerplate of their host."""
+    return boilerplate(docs).where("depleted").select("doc_id", "text_hash")
+
+
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of every row."""
     docs = docs.select("doc_id", "text", "source")
@@ -104,10 +115,20 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``quality`` rejects; all columns pass through, and good rows aren't shuffled."""
+    """``docs`` without the rows that ``quality`` rejects, and without the frequent lines of the rows that stay.
+
+    n_chars, if there, follows a changed text; other columns pass through. Only rows that may hold frequent lines are shuffled.
+    """
     good = docs.where(~base().getField("base_failed"))
-    gone = depleted(docs.select("doc_id", "text", "source"))
-    maybe, sure = split_by_ids(good, gone.select("doc_id"))
-    pairs = gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash"))
-    kept = maybe.join(pairs, maybe.doc_id.eqNullSafe(pairs["__gone_id"]) & (F.xxhash64(maybe.text) == pairs["__gone_hash"]), "left_anti")
-    return sure.unionByName(kept)
+    found = materialise(boilerplate(docs.select("doc_id", "text", "source")), "quality-boilerplate")
+    maybe, sure = split_by_ids(good, found.select("doc_id"))
+    found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("lines").alias("__lines"), F.col("depleted").alias("__depleted"))
+    joined = maybe.join(found, maybe.doc_id.eqNullSafe(found["__id"]) & (F.xxhash64(maybe.text) == found["__hash"]), "left").where("not coalesce(__depleted, false)")
+    own = F.transform(F.filter("__lines", lambda x: x["host"] == _host()), lambda x: x["h"])
+    joined = joined.withColumn("__own", F.coalesce(own, F.array().cast("array<bigint>")))
+    stay = F.filter(F.split("text", "\n"), lambda x: ~(x.rlike(NOT_SPACE) & F.array_contains("__own", F.xxhash64(_normalised(x)))))
+    cut = F.size("__own") > 0
+    changed = {"text": F.when(cut, F.array_join(stay, "\n")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(cut, F.length(changed["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return sure.unionByName(joined.withColumns(changed).select(*(F.col(f"`{c}`") for c in docs.columns)))

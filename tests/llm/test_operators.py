@@ -96,6 +96,14 @@ def test_boilerplate_of_pages_that_share_lines(spark):
     assert not any(got[k] for k in range(60)) and all(got[100 + k] for k in range(40))
 
 
+def test_frequent_lines_are_cut(spark):
+    line = "All rights of page 7 are reserved"
+    rows = [(k, f"{prose(k)}\n{line}\n\n{prose(100 + k)}", "en", "s", 0, 1, "f") for k in range(25)] + [(900, f"{prose(900)}\n{line}", "en", "t", 5, 1, "f"), (None, f"{line}\n{prose(901)}", "en", "s", 0, 1, "f")]
+    got = {r.doc_id: r for r in quality_rules.keep_good(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) == 27 and got[900].text == rows[25][1] and got[900].n_chars == 5 and got[None].text == prose(901)
+    assert all(got[k].text == f"{prose(k)}\n\n{prose(100 + k)}" and got[k].n_chars == len(got[k].text) for k in range(25))
+
+
 def test_secrets(spark):
     hexes = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(40)]
     tokens = [hashlib.sha256(str(k).encode()).hexdigest().upper() for k in range(60)]
