@@ -15,8 +15,8 @@ Operator 10. Two documents link when the Jaccard similarity of their word-shingl
 * A candidate's overlap is counted fragment by fragment and summed per pair.
 
 Null text, or text without words: no set, linked with nothing, its own component. Repeated rows and equal texts
-share a class. A null doc_id counts for links; its component_id is the least non-null id, or null. Only doc_id and
-text are read: other columns don't matter.
+share a class. A null doc_id counts for links; its component_id is the least non-null id, or null. Different texts of
+one doc_id, or of none, are different documents. Only doc_id and text are read: other columns don't matter.
 """
 
 from __future__ import annotations
@@ -50,7 +50,14 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(hashes))
             first.append(int(np.searchsorted(hashes, FIRST)))
             fp.append(fingerprint(hashes) if len(hashes) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(fp, pa.int64())], ["doc_id", "n", "n1", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(fp, pa.int64())], ["doc_id", "text_hash", "n", "n1", "fp"])
+
+
+def _with_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(text.as_py(), WORDS) for text in batch.column(0)]
+        fp = pa.array([fingerprint(own) if len(own) else None for own in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), fp], ["text", "fp"])
 
 
 def _rows(hashes: list[np.ndarray], fps: list[int]) -> pa.RecordBatch:
@@ -114,9 +121,20 @@ LINKED = f"{DENOMINATOR} * common >= {NUMERATOR} * (n_x + n_y - common)"
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id of every row of ``docs`` (doc_id, text): see the module."""
-    parsed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = materialise(parsed.mapInArrow(_profiles, "doc_id long, n long, n1 long, fp long"), "jaccard-profile")
-    classes = profile.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("n1").alias("n1"))
+    return _linked(docs).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("best.doc_id", "doc_id").alias("component_id")
+    )
+
+
+def _linked(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and n of every row, with ``first`` and ``best``: the first row (none, doc_id, text_hash) of its class and of its component.
+
+    Rows are ordered by doc_id, those of null doc_id last, then by text_hash; both are null where there are no words.
+    """
+    parsed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    profile = materialise(parsed.mapInArrow(_profiles, "doc_id long, text_hash long, n long, n1 long, fp long"), "jaccard-profile")
+    worded = profile.where("n > 0")
+    classes = worded.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("n1").alias("n1"))
 
     by_h = Window.partitionBy("h")
     first = _distinct_rows(parsed.select("text").mapInArrow(_first_fragment, "h long, fp long"))
@@ -124,13 +142,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     possible = materialise(
         classes.join(shared, "fp", "left")
         .where(F.coalesce("s1", F.lit(0)) >= F.col("n1") - _missable(F.col("n")))
-        .where("rep is not null")
         .select("fp", "rep", "n"),
         "jaccard-possible",
     )
 
     near, _ = split_by_ids(parsed, possible.select(F.col("rep").alias("doc_id")))
     texts = near.join(possible.select(F.col("rep").alias("doc_id"), "fp"), "doc_id").select("text", "fp")
+    # classes that have only rows of null doc_id
+    nameless = parsed.where("doc_id is null").select("text").mapInArrow(_with_fingerprints, "text string, fp long").where("fp is not null")
+    nameless = nameless.groupBy("fp").agg(F.first("text").alias("text")).join(possible.where("rep is null").select("fp"), "fp")
+    texts = texts.union(nameless.select("text", "fp"))
     counted = _distinct_rows(texts.mapInArrow(_whole_sets, "h long, fp long")).withColumn("df", F.count("*").over(by_h)).where("df > 1")
     ordered = counted.groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("grams"))
     nodes = materialise(
@@ -191,23 +212,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     every = reduce(DataFrame.union, [links, more]).select(F.col("x").alias("a"), F.col("y").alias("b"))
     roots = components(every, "jaccard-2")
 
-    reps = classes.select("fp", "rep")
-    members = roots.select(F.col("node").alias("fp"), "root").join(reps, "fp")
-    least = members.join(members.groupBy("root").agg(F.min("rep").alias("least")), "root").select("fp", "least")
-    final = reps.join(least, "fp", "left").select("fp", F.col("rep").alias("class_id"), F.coalesce("least", "rep").alias("component_id"))
-    return profile.join(final, "fp", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    firsts = worded.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    members = roots.select(F.col("node").alias("fp"), "root").join(firsts, "fp")
+    least = members.join(members.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "least")
+    final = firsts.join(least, "fp", "left").select("fp", "first", F.coalesce("least", "first").alias("best"))
+    return profile.join(final, "fp", "left").select("doc_id", "text_hash", "n", "first", "best")
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the one with the least doc_id. Rows without words all stay.
 
-    Repeated rows of one doc_id count as one document. All columns pass through.
+    Rows equal in doc_id and text count as one document; different texts of one doc_id, or of null, do not. A row of null
+    doc_id stays only where its component has no other. All columns pass through.
     """
-    found = materialise(jaccard_components(docs).select("doc_id", "component_id"), "jaccard-result")
-    gone = found.where("doc_id != component_id").select("doc_id")
-    twice = found.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    maybe, sure = split_by_ids(docs, gone.union(twice))
-    kept = maybe.join(gone.distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return sure.unionByName(kept.select(*sure.columns))
+    found = materialise(_linked(docs).where("n > 0").select("doc_id", "text_hash", "best"), "jaccard-result")
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    gone = found.where(~stays).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__gone")).distinct()
+    twice = found.where(stays).groupBy("doc_id", "text_hash").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    maybe, sure = split_by_ids(docs, gone.select(F.col("__id").alias("doc_id")).union(twice))
+    maybe = maybe.withColumn("__hash", F.xxhash64("text"))
+    kept = maybe.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__gone")), "left_anti")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    once = kept.where(worded).dropDuplicates(["doc_id", "__hash"]).union(kept.where(~worded))
+    return sure.unionByName(once.select(*sure.columns))

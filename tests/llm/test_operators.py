@@ -59,6 +59,20 @@ def test_jaccard(spark, docs):
     assert jaccard_components(empty(spark)).count() == 0
 
 
+def test_jaccard_of_rows_without_own_id(spark):
+    near = prose(3, 200)
+    rows = [(None, prose(k)) for k in range(10)] + [(None, prose(0)), (1, prose(20)), (1, prose(21)), (1, prose(21)), (2, None), (2, None), (None, "")]
+    # 300 and the bridge of null id are linked, as are the bridge and 301, but not 300 and 301
+    words = near.split()
+    bridge, far = " ".join([*words[:-25], *prose(40, 25).split()]), " ".join([*prose(41, 25).split(), *words[25:-25], *prose(40, 25).split()])
+    rows += [(300, near), (None, bridge), (301, far)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, 1, "f") for i, t in rows], SCHEMA)
+    component = {r.doc_id: r.component_id for r in jaccard_components(df).collect() if (r.doc_id or 0) >= 300}
+    assert component == {300: 300, 301: 300}
+    want = [(None, prose(k)) for k in range(10)] + [(1, prose(20)), (1, prose(21)), (2, None), (2, None), (None, ""), (300, near)]
+    assert sorted(map(str, [(r.doc_id, r.text) for r in keep_one_each(df).collect()])) == sorted(map(str, want))
+
+
 def test_quality(spark, docs):
     def plain(text):
         w = re.findall(r"[^\x20\x09-\x0d]+", text or "")
