@@ -299,6 +299,12 @@ def coordinate_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.withColumn("place", F.dense_rank().over(Window.orderBy("coord")).cast("long"))
 
 
+@query(PLACED)
+def coordinate_sort_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of the sort, with the column that orders them."""
+    return A.coordinate_sort(_placed(spark, sf_dir), _contigs(spark)).select("qname", "flag", "coord")
+
+
 @query(f"SELECT bucket, count(*) AS n, min(coord) AS low FROM (SELECT *, CAST(CASE WHEN coord = 9223372036854775807 THEN 9 ELSE floor(coord / 22223.0) END AS INT) AS bucket FROM ({PLACED}) AS p) AS b GROUP BY bucket")
 def coord_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = A.coordinate(_placed(spark, sf_dir), _contigs(spark))

@@ -27,3 +27,10 @@ def test_query_equals_sql(spark, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert plain(tuple(r[c] for c in columns) for r in df.collect()) == plain(tuple(r[i] for i in at) for r in result.fetchall())
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_whole_coordinate_sort(spark):
+    rows = catalogue.QUERIES["coordinate_sort_whole"](spark, str(DATA)).collect()
+    order = [r.coord for r in rows]
+    assert len(rows) > 100 and order == sorted(order)
