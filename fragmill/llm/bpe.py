@@ -1,25 +1,32 @@
 """Byte-level BPE encoding and decoding over a trie of distinct words.
 
-Operator 1. Texts are cut into words by the byte-level pattern; each batch's new distinct words go into a trie, which
-is walked depth-first. A node's state is the last token of its prefix's encoding: the one token that ends there and
-may follow the encoding of what comes before it. Words with a common prefix share the states of that prefix; a word's
-tokens are read off by stepping back from its node.
+Operator 1. Texts are cut into words by the byte-level pattern; each batch's new distinct words form a trie, which is
+walked depth-first. A node's state is the last token of its prefix's encoding: the one token that ends there and may
+follow the encoding of what comes before it. Words with a common prefix share the states of that prefix; a word's
+tokens are read off by stepping back from its end.
+
+The trie is laid out flat: in sorted order, each word's node path begins with the path that it shares with the word
+before, so the walk keeps the states of one path only and takes three numbers a byte of the longest word, however many
+words there are and whatever their bytes. Along the path an automaton over the vocabulary tells the tokens that end at
+each byte.
 
 Two tokens may stand side by side if no merge crosses their border before both are complete, which is told from the
 merge order alone; an encoding is right if all its neighbours may. Special tokens' strings in a text become their
 ids, as the tokenizers library does by default. Null text counts as empty: no tokens. Words of any length are
-encoded; only short ones are remembered, in a table of bounded size. Repeated rows get equal results; a null doc_id
-passes through.
+encoded; only short ones are remembered, in a table of bounded size. Texts are taken in parts of AT_ONCE characters
+(a longer text alone). Repeated rows get equal results; a null doc_id passes through; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +35,9 @@ from pyspark.sql import functions as F
 _WHITE = r"\t-\r \x85\xa0  -     　"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 PRINTABLE = (*range(33, 127), *range(161, 173), *range(174, 256))
-#: Words remembered by a worker, the longest remembered (characters), new words per trie, token pairs remembered.
-REMEMBERED, REMEMBERED_LENGTH, TRIE_WORDS, PAIRS = 800_000, 40, 20_000, 1_000_000
+#: Words remembered by a worker, the longest remembered (characters), token pairs and automaton steps remembered, characters of text at once.
+REMEMBERED, REMEMBERED_LENGTH, PAIRS, STEPS, AT_ONCE = 800_000, 40, 1_000_000, 1_000_000, 2_000_000
+
 
 
 class Codec:
@@ -56,15 +64,32 @@ class Codec:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.words = regex.compile(WORD).findall
         self.known: dict[str, tuple[int, ...]] = {}
-        self.beside: dict[tuple[int, int], bool] = {}
-
-    def may_follow(self, left: int, right: int) -> bool:
-        """Whether BPE leaves ``left`` and ``right`` as they are when they stand side by side."""
-        found = self.beside.get((left, right))
-        if found is None:
-            if len(self.beside) >= PAIRS:
-                self.beside.clear()
-            found = self.beside[left, right] = self._stays_apart(left, right)
+        self.beside: dict[int, bool] = {}
+        # the automaton: its states are the strings that begin a token, found as they are met
+        self.states: dict[bytes, int] = {b"": 0}
+        self.spelt = [b""]
+        self.ending: list[tuple[tuple[int, int], ...]] = [()]
+        self.steps: dict[int, int] = {}
+
+    def may_follow(self, pair: int) -> bool:
+        """Whether BPE leaves two tokens (left << 32 | right) as they are when they stand side by side."""
+        if len(self.beside) >= PAIRS:
+            self.beside.clear()
+        found = self.beside[pair] = self._stays_apart(pair >> 32, pair & 0xFFFFFFFF)
+        return found
+
+    def next_state(self, step: int) -> int:
+        """The state after a byte (state << 8 | byte): the longest end of what was read that begins a token."""
+        if len(self.steps) >= STEPS:
+            self.steps.clear()
+        text = self.spelt[step >> 8] + bytes([step & 255])
+        while text not in self.heads:
+            text = text[1:]
+        if text not in self.states:
+            self.states[text] = len(self.spelt)
+            self.spelt.append(text)
+            self.ending.append(tuple((len(text) - k, self.ids[text[k:]]) for k in range(len(text)) if text[k:] in self.ids))
+        found = self.steps[step] = self.states[text]
         return found
 
     def _stays_apart(self, a: int, b: int) -> bool:
@@ -84,67 +109,90 @@ class Codec:
             else:
                 before, b = made_b[0] + 0.5, made_b[1]
 
-    def encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, tuple[int, ...]]]:
-        """(word, tokens) of distinct ``words``: one trie, walked depth-first."""
-        root: dict = {}
+    def encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
+        """(word, tokens) of distinct ``words`` in sorted order: their trie, walked depth-first."""
+        beside, may_follow, steps, next_state, ending = self.beside, self.may_follow, self.steps, self.next_state, self.ending
+        # by depth: the automaton's state, the prefix's last token and that token's size
+        states, last, sizes = array("i", [0]), array("i", [-1]), array("i", [0])
+        before = b""
         for word in words:
-            node = root
-            for byte in word:
-                node = node.setdefault(byte, {})
-            node[-1] = word
-        ids, heads, may_follow = self.ids, self.heads, self.may_follow
-        # by depth: the prefix's bytes, its last token, that token's size, the longest suffix that begins a token
-        prefix, last, sizes, starts = bytearray(), [-1], [0], [0]
-        waiting = [(0, byte, node) for byte, node in root.items()]
-        while waiting:
-            depth, byte, node = waiting.pop()
-            del prefix[depth:], last[depth + 1 :], sizes[depth + 1 :], starts[depth + 1 :]
-            prefix.append(byte)
-            depth += 1
-            # only one token fits, so the order of trying is free: first the last token, one byte longer
-            reach = min(depth, starts[depth - 1] + 1)
-            while bytes(prefix[depth - reach :]) not in heads:
-                reach -= 1
-            starts.append(reach)
-            grown = sizes[depth - 1] + 1
-            for size in (grown, *range(reach, 0, -1)):
-                token = ids.get(bytes(prefix[depth - size :]))
-                if token is not None and (size == depth or may_follow(last[depth - size], token)):
-                    break
-            last.append(token)
-            sizes.append(size)
-            for byte, child in node.items():
-                if byte >= 0:
-                    waiting.append((depth, byte, child))
-                else:
-                    tokens, at = [], depth
-                    while at:
-                        tokens.append(last[at])
-                        at -= sizes[at]
-                    yield child, tuple(reversed(tokens))
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Token ids of each text."""
-        parts = [[(p, None) if k % 2 == 0 else (None, self.special[p]) for k, p in enumerate(self.split_special(t))] if self.split_special and any(s in t for s in self.special) else [(t, None)] for t in texts]
+            depth = _shared_length(before, word)
+            del states[depth + 1 :], last[depth + 1 :], sizes[depth + 1 :]
+            state = states[depth]
+            for byte in memoryview(word)[depth:]:
+                depth += 1
+                step = state << 8 | byte
+                state = steps.get(step)
+                if state is None:
+                    state = next_state(step)
+                for size, token in ending[state]:
+                    if size == depth:
+                        break
+                    pair = last[depth - size] << 32 | token
+                    fits = beside.get(pair)
+                    if fits or (fits is None and may_follow(pair)):
+                        break
+                states.append(state)
+                last.append(token)
+                sizes.append(size)
+            tokens, at = [], depth
+            while at:
+                tokens.append(last[at])
+                at -= sizes[at]
+            tokens.reverse()
+            yield word, tokens
+            before = word
+
+    def known_words(self, texts: list[str]) -> tuple[list[list[tuple[list[str] | None, int | None]]], Callable[[str], Sequence[int]]]:
+        """Each text as parts (words, or a special token's id), and the look-up of a word's tokens."""
+        special = self.split_special and any(s in t for t in texts for s in self.special)
+        parts = [[(p, None) if k % 2 == 0 else (None, self.special[p]) for k, p in enumerate(self.split_special(t))] if special else [(t, None)] for t in texts]
         cut = [[(self.words(p), None) if i is None else (None, i) for p, i in part] for part in parts]
         here = {w for part in cut for words, _ in part if words for w in words}
         known = self.known
         if len(known) + len(here) > REMEMBERED:
             known.clear()
         new = sorted(w.encode("utf-8", "replace") for w in here if w not in known)
-        extra: dict[str, tuple[int, ...]] = {}
-        for k in range(0, len(new), TRIE_WORDS):
-            for word, tokens in self.encode_words(new[k : k + TRIE_WORDS]):
-                text = word.decode()
-                (known if len(text) <= REMEMBERED_LENGTH else extra)[text] = tokens
-        look = known.__getitem__ if not extra else lambda w: known.get(w) or extra[w]
+        extra: dict[str, Sequence[int]] = {}
+        for word, tokens in self.encode_words(new):
+            text = word.decode()
+            if len(text) <= REMEMBERED_LENGTH:
+                known[text] = tuple(tokens)
+            else:
+                extra[text] = array("i", tokens)
+        return cut, known.__getitem__ if not extra else lambda w: known.get(w) or extra[w]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Token ids of each text."""
+        cut, look = self.known_words(texts)
         return [list(chain.from_iterable(chain.from_iterable(map(look, words)) if i is None else (i,) for words, i in part)) for part in cut]
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """Number of tokens of each text."""
+        cut, look = self.known_words(texts)
+        return [sum(sum(map(len, map(look, words))) if i is None else 1 for words, i in part) for part in cut]
+
     def decode(self, ids: list[int]) -> str:
         """The text of token ids; bytes that aren't UTF-8 become replacement characters."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def _shared_length(a: bytes, b: bytes) -> int:
+    """Bytes of the longest common prefix."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    if high and a[0] != b[0]:
+        return 0
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 _codecs: dict[int, Codec] = {}
 
 
@@ -155,12 +203,24 @@ def _codec(source: str) -> Codec:
     return _codecs[key]
 
 
-def _batched(make: Callable[[Codec, list], list[pa.Array]], names: list[str], shared, docs_at_once: int = 256):
+def _portions(batch: pa.RecordBatch, docs_at_once: int = 256) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of at most ``docs_at_once`` rows and AT_ONCE characters; a longer row is a part of its own."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist() if pa.types.is_string(batch.schema.field(1).type) else [0] * batch.num_rows
+    at = held = 0
+    for k, length in enumerate(lengths):
+        if k > at and (k - at >= docs_at_once or held + length > AT_ONCE):
+            yield batch.slice(at, k - at)
+            at, held = k, 0
+        held += length
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
+def _batched(make: Callable[[Codec, list], list[pa.Array]], names: list[str], shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
         for batch in batches:
-            for k in range(0, batch.num_rows, docs_at_once):
-                part = batch.slice(k, docs_at_once)
+            for part in _portions(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), *make(codec, part.column(1).to_pylist())], names)
 
     return run
@@ -174,6 +234,10 @@ def _decoded(codec: Codec, ids: list) -> list[pa.Array]:
     return [pa.array([codec.decode(x or []) for x in ids], pa.string())]
 
 
+def _counted(codec: Codec, texts: list) -> list[pa.Array]:
+    return [pa.array(codec.counts([t or "" for t in texts]), pa.int64())]
+
+
 def _digested(codec: Codec, texts: list) -> list[pa.Array]:
     counts, of_ids, of_text = [], [], []
     numbers = _numbers
@@ -203,6 +267,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_batched(_encoded, ["doc_id", "ids"], _shared(docs, path)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
+def lengths(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n) of every row of ``docs`` (doc_id, text): its number of tokens."""
+    parsed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return parsed.mapInArrow(_batched(_counted, ["doc_id", "n"], _shared(docs, path)), "doc_id long, n long")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) of every row of ``encoded`` (doc_id, ids); null ids give an empty text."""
     return encoded.select("doc_id", "ids").mapInArrow(_batched(_decoded, ["doc_id", "text"], _shared(encoded, path)), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")

@@ -14,12 +14,34 @@ FILTER_BITS = 1 << 26
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for written intermediates: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The shared folder for written intermediates: a folder of this application's in spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster it is an error, as executors could not
+    see each other's files.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="fragmill-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return f"{root}/fragmill-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def forget(*written: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and that nothing reads any more."""
+    for df in written:
+        _delete(df.sparkSession, df.written_to)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediates of this application: to be called once the results that read them are written."""
+    _delete(spark, scratch(spark))
 
 
 def workers_find_package(spark: SparkSession) -> None:
@@ -33,7 +55,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def all_of(df: DataFrame) -> list[Column]:
+    return [named(c) for c in df.columns]
+
+
+def fresh(*names: str) -> list[str]:
+    """Names for internal columns that no input column has."""
+    mark = uuid.uuid4().hex
+    return [f"{n}_{mark}" for n in names]
 
 
 def hashed_fold(id_column: str = "doc_id", folds: int = 5) -> Column:
@@ -47,28 +86,23 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[
     A one-hash Bloom filter in bitmaps of 4 KB each is broadcast: at most FILTER_BITS / 8 bytes at any input
     size. Beyond about 10^7 ids it lets more rows through; the exact join that follows is then larger, not wrong.
     """
-    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(FILTER_BITS)) + 1
-    bitmap = (
-        ids.select(place.alias("__p"))
-        .groupBy(F.bitmap_bucket_number("__p").alias("__bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__p")).alias("__bits"))
-    )
-    at = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    p, bucket, bits, position, hit = fresh("p", "bucket", "bits", "position", "hit")
+    place = F.pmod(F.xxhash64(named(key).cast("long")), F.lit(FILTER_BITS)) + 1
+    bitmap = ids.select(place.alias(p)).groupBy(F.bitmap_bucket_number(p).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(p)).alias(bits))
+    byte = F.conv(F.hex(F.expr(f"substring({bits}, cast({position} div 8 as int) + 1, 1)")), 16, 10).cast("int")
     marked = (
-        docs.withColumns({"__bucket": F.bitmap_bucket_number(place), "__at": at})
-        .join(F.broadcast(bitmap), "__bucket", "left")
-        .withColumn("__hit", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(__at % 8 as int))")) != 0, F.lit(False)))
+        docs.withColumns({bucket: F.bitmap_bucket_number(place), position: F.bitmap_bit_position(place)})
+        .join(F.broadcast(bitmap), bucket, "left")
+        .withColumn(hit, F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, cast({position} % 8 as int))")) != 0, F.lit(False)))
     )
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return marked.where("__hit").select(*columns), marked.where("not __hit").select(*columns)
+    return marked.where(hit).select(*all_of(docs)), marked.where(f"not {hit}").select(*all_of(docs))
 
 
 def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
     """(node, root): connected components of ``edges`` (a, b), root being the least node.
 
     Min-label propagation with pointer jumping; every round is a written table, so a lost executor costs a round
-    at most. Rounds grow with the logarithm of the diameter.
+    at most, and is deleted when the next one is there. Rounds grow with the logarithm of the diameter.
     """
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
@@ -85,10 +119,11 @@ def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
             step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("root"), F.col("root").alias("old")),
             f"{name}-labels",
         )
-        changed = new.where("root != old").limit(1).count()
-        labels = new.select("node", "root")
-        if not changed:
+        forget(labels)
+        labels = new
+        if not new.where("root != old").limit(1).count():
             break
     else:
         raise RuntimeError("components did not settle")
-    return labels
+    forget(both)
+    return labels.select("node", "root")

@@ -3,6 +3,9 @@
 Operator 10. Two documents link when the Jaccard similarity of their word-shingle sets reaches a threshold.
 
 * Equal sets are one class, told by a fingerprint that each row computes alone, so copies never meet pairwise.
+* An n-gram that many classes have never meets in one task unreduced: a batch of documents sends one row for an n-gram
+  that several of its classes have, counts are partial before they are shuffled, and where each class needs a count
+  back, both sides of the join are written tables, which adaptive execution can split at a frequent key.
 * The n-gram order is cut into fragments. The first fragment (the lowest 3/8 of the hash range) is shuffled for
   all classes: a class that shares too few of its n-grams there can link with nothing and is done. At similarity
   3/4 a text may miss a quarter of its n-grams in its partner, so every fragment of over a quarter prunes exactly.
@@ -16,7 +19,8 @@ Operator 10. Two documents link when the Jaccard similarity of their word-shingl
 
 Null text, or text without words: no set, linked with nothing, its own component. Repeated rows and equal texts
 share a class. A null doc_id counts for links; its component_id is the least non-null id, or null. Different texts of
-one doc_id, or of none, are different documents. Only doc_id and text are read: other columns don't matter.
+one doc_id, or of none, are different documents. Only doc_id and text are read: other columns don't matter. N-grams and
+sets are told apart by hashes of 64 bits: sets of two texts are taken for equal with a chance of 2^-64 a pair.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fragmill.llm.common import components, materialise, split_by_ids
+from fragmill.llm.common import all_of, components, forget, fresh, materialise, named, split_by_ids
 from fragmill.llm.shingles import fingerprint, shingle_set
 
 WORDS = 5
@@ -40,6 +44,8 @@ NUMERATOR, DENOMINATOR = 3, 4
 FIRST = np.uint64((1 << 64) * 3 // 8)
 #: Fragments in which a candidate's overlap is counted; a power of two.
 FRAGMENTS = 2
+#: N-grams that a task folds at once.
+FOLDED = 2_000_000
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,17 +72,49 @@ def _rows(hashes: list[np.ndarray], fps: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(h), pa.array(fp)], ["h", "fp"])
 
 
+def _folded(hashes: list[np.ndarray], fps: list[int]) -> pa.RecordBatch:
+    """Rows (h, lo, hi, fp, known): an n-gram and the least and greatest of its classes here; fp is its class if it has one only.
+
+    What classes share here is told by a row of their own: h and fp are the class, ``known`` the number of n-grams.
+    """
+    own = np.array(fps, np.int64)
+    h, owner = np.concatenate(hashes), np.repeat(np.arange(len(fps)), [len(x) for x in hashes])
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], owner[order]
+    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    sizes = np.diff(np.r_[starts, len(h)])
+    fp = own[owner]
+    lo, hi = np.minimum.reduceat(fp, starts), np.maximum.reduceat(fp, starts)
+    alone = sizes == 1
+    known = np.bincount(owner[np.repeat(~alone, sizes)], minlength=len(fps))
+    told = np.flatnonzero(known)
+    columns = [
+        pa.array(np.r_[h[starts].view(np.int64), own[told]]),
+        pa.array(np.r_[lo, own[told]]),
+        pa.array(np.r_[hi, own[told]]),
+        pa.array(np.r_[lo, own[told]], mask=np.r_[~alone, np.zeros(len(told), bool)]),
+        pa.array(np.r_[np.zeros(len(starts), np.int64), known[told]]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["h", "lo", "hi", "fp", "known"])
+
+
 def _first_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen, hashes = set(), []
+        seen, hashes, fps, held = set(), [], [], 0
         for text in batch.column(0):
             own = shingle_set(text.as_py(), WORDS)
             if len(own) and (fp := fingerprint(own)) not in seen:
                 seen.add(fp)
-                hashes.append((own[: np.searchsorted(own, FIRST)], fp))
-        for k in range(0, len(hashes), 1000):
-            part = hashes[k : k + 1000]
-            yield _rows([x for x, _ in part], [x for _, x in part])
+                part = own[: np.searchsorted(own, FIRST)]
+                if len(part):
+                    hashes.append(part)
+                    fps.append(fp)
+                    held += len(part)
+            if held >= FOLDED:
+                yield _folded(hashes, fps)
+                hashes, fps, held = [], [], 0
+        if hashes:
+            yield _folded(hashes, fps)
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,12 +135,6 @@ def _missable(n: Column) -> Column:
     return n - F.ceil(n * NUMERATOR / DENOMINATOR)
 
 
-def _distinct_rows(rows: DataFrame) -> DataFrame:
-    """(h, fp) once each, sorted and dealt by h; rows of a class may come from several tasks."""
-    in_order = Window.partitionBy("h").orderBy("fp")
-    return rows.withColumn("before", F.lag("fp").over(in_order)).where("before is null or before != fp").drop("before")
-
-
 def _may_link(n_x: Column, n_y: Column, most: Column) -> Column:
     """Whether sets of these sizes can link if they share at most ``most``."""
     return (DENOMINATOR * most >= NUMERATOR * (n_x + n_y - most)) & (DENOMINATOR * F.least(n_x, n_y) >= NUMERATOR * F.greatest(n_x, n_y))
@@ -136,9 +168,11 @@ def _linked(docs: DataFrame) -> DataFrame:
     worded = profile.where("n > 0")
     classes = worded.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("n1").alias("n1"))
 
+    # a class that is met in several tasks may be counted for each, which prunes less, not more
     by_h = Window.partitionBy("h")
-    first = _distinct_rows(parsed.select("text").mapInArrow(_first_fragment, "h long, fp long"))
-    shared = first.withColumns({"lo": F.min("fp").over(by_h), "hi": F.max("fp").over(by_h)}).where("lo != hi").groupBy("fp").agg(F.count("*").alias("s1"))
+    first = parsed.select("text").mapInArrow(_first_fragment, "h long, lo long, hi long, fp long, known long")
+    met = first.withColumns({"lo": F.min("lo").over(by_h), "hi": F.max("hi").over(by_h)}).where("fp is not null and (known > 0 or lo != hi)")
+    shared = met.groupBy("fp").agg(F.sum(F.greatest("known", F.lit(1))).alias("s1"))
     possible = materialise(
         classes.join(shared, "fp", "left")
         .where(F.coalesce("s1", F.lit(0)) >= F.col("n1") - _missable(F.col("n")))
@@ -152,8 +186,11 @@ def _linked(docs: DataFrame) -> DataFrame:
     nameless = parsed.where("doc_id is null").select("text").mapInArrow(_with_fingerprints, "text string, fp long").where("fp is not null")
     nameless = nameless.groupBy("fp").agg(F.first("text").alias("text")).join(possible.where("rep is null").select("fp"), "fp")
     texts = texts.union(nameless.select("text", "fp"))
-    counted = _distinct_rows(texts.mapInArrow(_whole_sets, "h long, fp long")).withColumn("df", F.count("*").over(by_h)).where("df > 1")
-    ordered = counted.groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("grams"))
+    grams = materialise(texts.mapInArrow(_whole_sets, "h long, fp long"), "jaccard-grams")
+    frequency = materialise(grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-frequency")
+    gathered = grams.join(frequency, "h").groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("grams"))
+    # a class that several tasks met has its n-grams as often
+    ordered = gathered.select("fp", F.expr("filter(grams, (g, i) -> i = 0 or g.h != grams[i - 1].h)").alias("grams"))
     nodes = materialise(
         ordered.join(possible.select("fp", "n"), "fp")
         .withColumn("u", F.col("n") - F.size("grams"))
@@ -162,6 +199,8 @@ def _linked(docs: DataFrame) -> DataFrame:
         "jaccard-nodes",
     )
 
+    forget(grams, frequency)
+
     n, u = F.col("n"), F.col("u")
     keys = nodes.select("fp", "n", "u", F.slice(F.col("grams.h"), F.lit(1), (_missable(n) + 1 - u).cast("int")).alias("keys"))
     prefix = materialise(keys.select("fp", "n", "u", F.posexplode("keys").alias("place", "h")), "jaccard-prefix")
@@ -227,11 +266,12 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     """
     found = materialise(_linked(docs).where("n > 0").select("doc_id", "text_hash", "best"), "jaccard-result")
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
-    gone = found.where(~stays).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__gone")).distinct()
+    gone = found.where(~stays).select("doc_id", "text_hash").distinct()
     twice = found.where(stays).groupBy("doc_id", "text_hash").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    maybe, sure = split_by_ids(docs, gone.select(F.col("__id").alias("doc_id")).union(twice))
-    maybe = maybe.withColumn("__hash", F.xxhash64("text"))
-    kept = maybe.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__gone")), "left_anti")
-    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    once = kept.where(worded).dropDuplicates(["doc_id", "__hash"]).union(kept.where(~worded))
-    return sure.unionByName(once.select(*sure.columns))
+    maybe, sure = split_by_ids(docs, gone.select("doc_id").union(twice))
+    own, gone_id, gone_hash = fresh("hash", "id", "gone")
+    maybe = maybe.withColumn(own, F.xxhash64(named("text")))
+    kept = maybe.join(gone.toDF(gone_id, gone_hash), named("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_hash)), "left_anti")
+    worded = F.coalesce(named("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    once = kept.where(worded).dropDuplicates(["doc_id", own]).union(kept.where(~worded))
+    return sure.unionByName(once.select(*all_of(docs)))

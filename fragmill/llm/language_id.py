@@ -2,12 +2,13 @@
 
 Operator 8. A document is a mixture of languages: its letter trigrams (hashed, words bounded by blanks) are drawn from
 per-language distributions learned from labelled documents. Expectation-maximisation estimates the proportions; the
-set of languages is the one of the nested sets of the largest proportions whose likelihood, less a penalty for every
-language beyond the first, is greatest. The prediction is the set's largest proportion, which is also the score.
+set of languages grows by the next largest proportion as long as its likelihood, less a penalty for every language
+beyond the first, grows with it; sets may be of any size. The prediction is the set's largest proportion, which is also
+the score; ties go to the first language by name.
 
-At most about TRAIN_DOCS whole documents a language are learned from, chosen by a hash of their id outside fold 0.
-Null text and texts without a letter: ``und``, score 0; so is everything where nothing could be learned. Repeated rows
-get equal results. Scoring reads only the text.
+At most about TRAIN_DOCS whole documents a language are learned from, chosen by a hash of their id outside fold 0;
+their n-grams are counted in the executors, and the driver gets one number a bucket and language. Null text and texts without a letter: ``und``, score 0; so is everything where nothing could be learned. Repeated rows
+get equal results; a null doc_id counts as held out. Only doc_id, text and, to learn, lang are read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from fragmill.llm.common import hashed_fold
 
 TRAIN_DOCS, BUCKETS, SMOOTHING = 400, 8192, 0.5
-ROUNDS, LAST_ROUNDS, MOST_LANGUAGES, PENALTY = 12, 4, 3, 4.0
+ROUNDS, LAST_ROUNDS, PENALTY = 12, 4, 4.0
 UNKNOWN = "und"
 _LETTER = np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(0x10000)])
 
@@ -53,8 +54,9 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = trigram_counts(text or "")
             if counts is not None:
                 total[lang] = total.get(lang, 0) + counts
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([x.astype(np.int64).tobytes() for x in total.values()])], ["lang", "counts"])
+    for lang, counts in total.items():
+        buckets = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(buckets), pa.string()), pa.array(buckets, pa.int64()), pa.array(counts[buckets], pa.int64())], ["lang", "bucket", "n"])
 
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -62,12 +64,13 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     own = docs.where("lang is not null and text is not null").where(hashed_fold() != 0)
     every = own.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.ceil(F.col("n") / TRAIN_DOCS).alias("every"))
     rows = own.join(F.broadcast(every), "lang").where(F.pmod(F.xxhash64("doc_id"), F.col("every")) == 0).select("lang", "text")
-    total: dict[str, np.ndarray] = {}
-    for lang, counts in rows.mapInArrow(_learned, "lang string, counts binary").collect():
-        total[lang] = total.get(lang, 0) + np.frombuffer(bytes(counts), np.int64)
-    langs = sorted(total)
-    table = np.array([(total[x] + SMOOTHING) / (total[x].sum() + SMOOTHING * BUCKETS) for x in langs], np.float32)
-    return langs, table.reshape(len(langs), BUCKETS)
+    counted = rows.mapInArrow(_learned, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    langs = sorted({r["lang"] for r in counted})
+    total = np.zeros((len(langs), BUCKETS))
+    place = {lang: k for k, lang in enumerate(langs)}
+    for lang, bucket, n in counted:
+        total[place[lang], bucket] = n
+    return langs, ((total + SMOOTHING) / (total.sum(1, keepdims=True) + SMOOTHING * BUCKETS)).astype(np.float32)
 
 
 def proportions(counts: np.ndarray, table: np.ndarray, start: np.ndarray, rounds: int) -> np.ndarray:
@@ -83,15 +86,19 @@ def infer(counts: np.ndarray, table: np.ndarray) -> np.ndarray:
     docs, k = len(counts), len(table)
     full = proportions(counts, table, np.full((docs, k), 1 / k, np.float32), ROUNDS)
     order = np.argsort(-full, axis=1, kind="stable")
-    best, chosen = np.full(docs, -np.inf), np.zeros((docs, k), np.float32)
     penalty = PENALTY * np.log(counts.sum(1) + 1)
-    for size in range(1, min(k, MOST_LANGUAGES) + 1):
-        kept = np.zeros((docs, k), np.float32)
-        np.put_along_axis(kept, order[:, :size], np.maximum(np.take_along_axis(full, order[:, :size], 1), 1e-6), 1)
-        kept = proportions(counts, table, kept / kept.sum(1, keepdims=True), LAST_ROUNDS if size > 1 else 0)
-        likelihood = (counts * np.log(np.maximum(kept @ table, 1e-30))).sum(1) - penalty * (size - 1)
-        better = likelihood > best
-        best, chosen = np.where(better, likelihood, best), np.where(better[:, None], kept, chosen)
+    chosen, best, open_ = np.zeros((docs, k), np.float32), np.full(docs, -np.inf), np.arange(docs)
+    for size in range(1, k + 1):
+        own, first = counts[open_], order[open_, :size]
+        kept = np.zeros((len(open_), k), np.float32)
+        np.put_along_axis(kept, first, np.maximum(np.take_along_axis(full[open_], first, 1), 1e-6), 1)
+        kept = proportions(own, table, kept / kept.sum(1, keepdims=True), LAST_ROUNDS if size > 1 else 0)
+        likelihood = (own * np.log(np.maximum(kept @ table, 1e-30))).sum(1) - penalty[open_] * (size - 1)
+        better = likelihood > best[open_]
+        open_ = open_[better]
+        best[open_], chosen[open_] = likelihood[better], kept[better]
+        if not len(open_):
+            break
     return chosen
 
 

@@ -37,11 +37,11 @@ held AS (
   FROM (SELECT r, doc_id, t, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM cut) AS x
 ),
 document AS (
-  SELECT r, concat(min(h), max(h)) AS document FROM held GROUP BY r
+  SELECT r, list_sort(list(DISTINCT h)) AS document FROM held GROUP BY r
 ),
 frequent AS (
   SELECT host, h FROM (SELECT DISTINCT held.r, host, h, document FROM held JOIN document ON held.r = document.r) AS x
-  GROUP BY host, h HAVING count(DISTINCT document) > 20 AND 100 * count(DISTINCT document) >= 80 * count(*)
+  GROUP BY host, h HAVING count(DISTINCT document) > 20
 ),
 removed AS (
   SELECT DISTINCT doc_id, t, place, w FROM held JOIN frequent ON held.host = frequent.host AND held.h = frequent.h

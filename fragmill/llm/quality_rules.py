@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import materialise, split_by_ids
+from fragmill.llm.common import all_of, fresh, materialise, named, split_by_ids
 
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -28,6 +28,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 MAX_LINE_DOCS = 20
 #: A document is depleted when fewer than this percentage of its words are in lines that stay.
 MIN_LEFT_PERCENT = 20
+#: Frequent lines are broadcast up to this many; beyond it each is joined under this many salts, as one line may be in a third of all documents.
+BROADCAST_LINES, SALTS = 300_000, 64
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -84,14 +86,21 @@ def boilerplate(docs: DataFrame) -> DataFrame:
             "w": F.transform("lines", lambda x: F.size(F.array_remove(F.split(x, f"{SPACE}+"), ""))),
         }
     ).drop("lines")
+    hashed = materialise(hashed, "quality-lines")
     lines_of_one = hashed.select("host", F.array_sort(F.array_distinct("h")).alias("h"))
     held = lines_of_one.select("host", F.xxhash64("h").alias("document"), F.explode_outer("h").alias("h"))
     per_document = held.where("h is not null").select("host", "h", "document").distinct()
     frequent = per_document.groupBy("host", "h").agg(F.count("*").alias("distinct_docs")).where(F.col("distinct_docs") > MAX_LINE_DOCS).select("host", "h")
+    frequent = materialise(frequent, "quality-frequent")
     total = F.aggregate("w", F.lit(0), lambda t, x: t + x)
     occurring = hashed.select("doc_id", "text_hash", "host", total.alias("total"), F.posexplode_outer(F.arrays_zip("h", "w")).alias("place", "line"))
     occurring = occurring.select("doc_id", "text_hash", "host", "total", "place", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
-    removed = occurring.join(frequent, ["host", "h"]).groupBy("doc_id", "text_hash", "total", "place", "w").agg(F.collect_set(F.struct("host", "h")).alias("lines"))
+    if frequent.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+        met = occurring.join(F.broadcast(frequent), ["host", "h"])
+    else:
+        salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = occurring.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", "place"), F.lit(SALTS)).cast("int")).join(salted, ["host", "h", "salt"])
+    removed = met.groupBy("doc_id", "text_hash", "total", "place", "w").agg(F.collect_set(F.struct("host", "h")).alias("lines"))
     return (
         removed.groupBy("doc_id", "text_hash")
         .agg(F.sum("w").alias("gone"), F.max("total").alias("total"), F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
@@ -122,13 +131,14 @@ def keep_good(docs: DataFrame) -> DataFrame:
     good = docs.where(~base().getField("base_failed"))
     found = materialise(boilerplate(docs.select("doc_id", "text", "source")), "quality-boilerplate")
     maybe, sure = split_by_ids(good, found.select("doc_id"))
-    found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("lines").alias("__lines"), F.col("depleted").alias("__depleted"))
-    joined = maybe.join(found, maybe.doc_id.eqNullSafe(found["__id"]) & (F.xxhash64(maybe.text) == found["__hash"]), "left").where("not coalesce(__depleted, false)")
-    own = F.transform(F.filter("__lines", lambda x: x["host"] == _host()), lambda x: x["h"])
-    joined = joined.withColumn("__own", F.coalesce(own, F.array().cast("array<bigint>")))
-    stay = F.filter(F.split("text", "\n"), lambda x: ~(x.rlike(NOT_SPACE) & F.array_contains("__own", F.xxhash64(_normalised(x)))))
-    cut = F.size("__own") > 0
+    gone_id, gone_hash, lines, gone, own = fresh("id", "hash", "lines", "depleted", "own")
+    found = found.toDF(gone_id, gone_hash, lines, gone)
+    joined = maybe.join(found, named("doc_id").eqNullSafe(F.col(gone_id)) & (F.xxhash64(named("text")) == F.col(gone_hash)), "left").where(~F.coalesce(gone, F.lit(False)))
+    of_host = F.transform(F.filter(lines, lambda x: x["host"] == _host()), lambda x: x["h"])
+    joined = joined.withColumn(own, F.coalesce(of_host, F.array().cast("array<bigint>")))
+    stay = F.filter(F.split("text", "\n"), lambda x: ~(x.rlike(NOT_SPACE) & F.array_contains(own, F.xxhash64(_normalised(x)))))
+    cut = F.size(own) > 0
     changed = {"text": F.when(cut, F.array_join(stay, "\n")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(cut, F.length(changed["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return sure.unionByName(joined.withColumns(changed).select(*(F.col(f"`{c}`") for c in docs.columns)))
+    return sure.unionByName(joined.withColumns(changed).select(*all_of(docs)))

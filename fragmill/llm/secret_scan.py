@@ -14,7 +14,8 @@ distinct strings goes by the histogram of all bands of its encoding; where that
 estimated, and strings from bin FALLBACK on (p of at least FALLBACK / BINS) are taken as random.
 
 Positions are code points, end exclusive. Null and empty texts have no spans. A random string that overlaps a base
-span is left to that span. Repeated rows get equal results; only doc_id and text are read.
+span is left to that span. Repeated rows get equal results; only doc_id and text are read,
+and ``redact`` passes all other columns through.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fragmill.llm.common import all_of
+
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "(AKIA[A-Z0-9]{16,})"
 HEX = "([0-9a-f]{24,})"
 RANDOM = "([A-Za-z0-9+/_-]{20,})"
 #: Kinds in their order, with the least length of the pattern's group.
 BASE = (("assign", ASSIGN, 6), ("access", ACCESS, 20), ("hex", HEX, 24))
-MIN_VALUE = 6
 #: Encodings: size of the alphabet, pattern of the whole string, alphabet in order.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
@@ -82,7 +84,7 @@ STEPS = (
     ("ups", "aggregate(r.up, 0D, (t, x) -> t + x)"),
     ("runs", "1D + " + _lagged("r.up", 1, "abs(a - b)")),
     ("mu", "2 * r.ups * (r.n - r.ups) / r.n + 1"),
-    ("z_uniform", "greatest((r.k * r.squares / r.n - r.n - (r.k - 1)) / sqrt(2D * (r.k - 1) * (r.n - 1) / r.n), 0D)"),
+    ("z_uniform", "(r.k * r.squares / r.n - r.n - (r.k - 1)) / sqrt(2D * (r.k - 1) * (r.n - 1) / r.n)"),
     ("z_runs", "if(r.mu <= 2, sqrt(r.n), (r.runs - r.mu) / sqrt((r.mu - 1) * (r.mu - 2) / (r.n - 1)))"),
     ("z_lag1", "if(r.power = 0, r.n, " + _lagged("r.d", 1, "a * b") + " / r.power * sqrt(r.n))"),
     ("z_lag2", "if(r.power = 0, r.n, " + _lagged("r.d", 2, "a * b") + " / r.power * sqrt(r.n))"),
@@ -150,13 +152,13 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by REDACTED (overlapping ones together); n_chars, if there, follows."""
-    columns = docs.columns
     walked = (
         "aggregate(__spans, struct(0 as at, '' as out), (s, x) -> case "
         f"when x.start >= s.at then struct(x.end as at, concat(s.out, substring(text, s.at + 1, x.start - s.at), '{REDACTED}') as out) "
         "else struct(greatest(s.at, x.end) as at, s.out as out) end, s -> concat(s.out, substring(text, s.at + 1)))"
     )
-    df = with_spans(docs).withColumn("text", F.expr(f"case when size(__spans) = 0 then text else {walked} end"))
-    if "n_chars" in columns:
-        df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return df.select(*(F.col(f"`{c}`") for c in columns))
+    # the row goes along as one struct, so no column of it can clash with those of the scan
+    found = with_spans(docs.select(F.struct(*all_of(docs)).alias("row"), "text"))
+    text = F.expr(f"case when size(__spans) = 0 then text else {walked} end")
+    changed = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return found.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

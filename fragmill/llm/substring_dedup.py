@@ -6,12 +6,12 @@ The first occurrence of a run, by (doc_id, sentence), stays; sentences that any
 
 A sentence ends after . ! or ? with white space, at a line end, and before a capital letter, so that a passage
 pasted into the middle of a sentence is cut where it begins. A sentence of LONG_WORDS is a run of its own. Runs are
-compared in lower case with white space collapsed. Each batch sends one row for a hash, so a passage that a third of
+compared in lower case with white space collapsed, by hashes of 128 bits. Each batch sends one row for a hash, so a passage that a third of
 all documents share reaches its task as a row for each batch, not for each document.
 
 Null text stays null; rows with a null doc_id pass unchanged and take no part; repeated rows (one doc_id, one text)
 are one document and get equal results. A document of which all sentences repeat keeps an empty text. All columns
-pass through; n_chars, if there, follows the text.
+pass through; n_chars, if there, follows the text; columns named n_sentences_removed and n_words_removed are replaced.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from xxhash import xxh3_64_intdigest
+from xxhash import xxh3_128_intdigest
 
-from fragmill.llm.common import materialise, split_by_ids
+from fragmill.llm.common import all_of, fresh, materialise, named, split_by_ids
 from fragmill.llm.shingles import mix
 
 MIN_WORDS, LONG_WORDS = 20, 40
@@ -59,14 +59,14 @@ def sentences(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
 
-def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first sentence, last sentence) of the text's minimal runs."""
+def runs(text: str) -> tuple[np.ndarray, ...]:
+    """(hash, second hash, first sentence, last sentence) of the text's minimal runs."""
     words = [x.lower().split() for x in sentences(text)]
     lengths = np.array([len(x) for x in words], np.int64)
     total = np.r_[np.int64(0), np.cumsum(lengths)]
     n = len(words)
     if not n or total[-1] < MIN_WORDS:
-        return (np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 2)
+        return (*(np.empty(0, np.uint64),) * 2, *(np.empty(0, np.int64),) * 2)
     places = np.arange(n)
     # the shortest run from each start, then to each end, of two sentences or more; then long sentences
     last = np.maximum(np.searchsorted(total, total[:-1] + MIN_WORDS) - 1, places + 1)
@@ -75,11 +75,12 @@ def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     forth, back = last < n, first >= 0
     pairs = np.unique(np.r_[places[forth] * n + last[forth], first[back] * n + places[back], alone * n + alone])
     i, j = pairs // n, pairs % n
-    hashes = np.array([xxh3_64_intdigest(" ".join(x)) for x in words], np.uint64)
+    both = np.frombuffer(b"".join(xxh3_128_intdigest(" ".join(x)).to_bytes(16, "little") for x in words), np.uint64).reshape(-1, 2)
     up, down = _powers.upto(n)
     with np.errstate(over="ignore"):
-        prefix = np.r_[np.uint64(0), np.cumsum(mix(hashes) * up)]
-        return mix((prefix[j + 1] - prefix[i]) * down[i]), i, j
+        prefix = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(mix(both) * up[:, None], axis=0)])
+        found = mix((prefix[j + 1] - prefix[i]) * down[i, None])
+    return found[:, 0], found[:, 1], i, j
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,22 +93,22 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 owner.append(np.full(len(found[-1][0]), doc_id, np.int64))
         if not found:
             continue
-        h, i, j = (np.concatenate([x[k] for x in found]) for k in range(3))
+        h, c, i, j = (np.concatenate([x[k] for x in found]) for k in range(4))
         doc = np.concatenate(owner)
-        order = np.lexsort((i, doc, h))
-        h, i, j, doc = h[order].view(np.int64), i[order], j[order], doc[order]
-        head = np.r_[True, h[1:] != h[:-1]] if len(h) else np.empty(0, bool)
+        order = np.lexsort((i, doc, c, h))
+        h, c, i, j, doc = h[order].view(np.int64), c[order].view(np.int64), i[order], j[order], doc[order]
+        head = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(h) else np.empty(0, bool)
         lead = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
         again = (doc != doc[lead]) | (i != i[lead])
-        columns = [pa.array(x) for x in (h, doc, i.astype(np.int32), j.astype(np.int32), again)]
-        yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "i", "j", "again"])
+        columns = [pa.array(x) for x in (h, c, doc, i.astype(np.int32), j.astype(np.int32), again)]
+        yield pa.RecordBatch.from_arrays(columns, ["h", "c", "doc_id", "i", "j", "again"])
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): the first and last sentences of each document's runs that occur earlier."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_spans, "h long, doc_id long, i int, j int, again boolean")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_spans, "h long, c long, doc_id long, i int, j int, again boolean")
     key = F.when(F.col("again"), F.xxhash64("doc_id", "i", "h")).otherwise(F.col("h"))
-    earliest = F.min(F.when(~F.col("again"), F.struct("doc_id", "i"))).over(Window.partitionBy("key"))
+    earliest = F.min(F.when(~F.col("again"), F.struct("doc_id", "i"))).over(Window.partitionBy("key", "c"))
     later = rows.withColumn("key", key).withColumn("first", earliest).where("again or struct(doc_id, i) > first")
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("i", "j")).alias("spans"))
 
@@ -140,15 +141,16 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     columns = [c for c in docs.columns if c not in ("n_sentences_removed", "n_words_removed")]
-    docs = docs.select(*(F.col(f"`{c}`") for c in columns))
-    spans = materialise(repeated(docs), "dedup-spans")
-    maybe, sure = split_by_ids(docs, spans.select("doc_id"))
-    joined = maybe.join(spans.withColumnRenamed("doc_id", "__id"), maybe.doc_id.cast("long") == F.col("__id"), "left").drop("__id")
-    joined = joined.withColumn("spans", F.when(F.col("text").isNotNull(), F.col("spans")))
+    docs = docs.select(*map(named, columns))
+    found = materialise(repeated(docs), "dedup-spans")
+    maybe, sure = split_by_ids(docs, found.select("doc_id"))
+    own, spans = fresh("id", "spans")
+    joined = maybe.join(found.toDF(own, spans), named("doc_id").cast("long") == F.col(own), "left")
+    joined = joined.select(*all_of(docs), F.when(F.col("text").isNotNull(), F.col(spans)).alias(spans))
     none = {"n_sentences_removed": F.lit(0).cast("long"), "n_words_removed": F.lit(0).cast("long")}
     chars_at = columns.index("n_chars") if "n_chars" in columns else None
     schema = sure.withColumns(none).schema
     cut = _cutter(columns.index("text"), chars_at, to_arrow_schema(docs.schema))
-    changed = joined.where("spans is not null").mapInArrow(cut, schema)
-    untouched = joined.where("spans is null").drop("spans").withColumns(none)
+    changed = joined.where(F.col(spans).isNotNull()).mapInArrow(cut, schema)
+    untouched = joined.where(F.col(spans).isNull()).drop(spans).withColumns(none)
     return sure.withColumns(none).union(untouched).union(changed)

@@ -2,16 +2,26 @@
 
 Operator 4. Words are compared by the gap-weighted subsequence kernel of order three: every common subsequence of three
 letters counts DECAY to the power of the stretch it takes in either word, so inserted characters and gaps weaken a
-match instead of ending it. Landmarks are words that set toxic training documents apart and frequent words of the
-others; kernel values at the landmarks, whitened, are the features of a linear machine with squared hinge loss. It is
-trained on sentences of labelled documents: a toxic document's sentence stands by its most telling word, another's by
-all its words. The machine is linear in the kernel's own features too, so the landmarks fold into one table of
-weights per letter triple and a word's decision needs no walk over landmarks.
-
-A document's score is the logistic of its highest word decision. Letters that are spaced out one by one are also read
-as one word. At most about TRAIN_DOCS whole documents of either label are learned from, chosen by a hash of their id
-outside fold 0. Null, empty and wordless texts score 0, as does everything where one label is missing. Repeated rows
-get equal results. Scoring reads only the text.
+match instead of ending it. Kernel values at the landmarks, whitened, are the features of a linear machine with squared
+hinge loss. The machine is linear in the kernel's own features too, so the landmarks fold into one table of weights per
+letter triple and a word's decision needs no walk over landmarks. A sentence's decision is the soft maximum of its
+words' (SOFTNESS times the logarithm of the sum of exponentials), so several words, none of them telling alone, add up.
+
+It is trained on sentences of labelled documents. A label belongs to a document, so the positive examples are those of a
+toxic document's sentences that have a word which toxic documents surely have more often (log odds less their standard
+error; where there is none, any word that no other document has), told by the most telling one. Words of the others'
+sentences are negative, those with the highest decisions always among them. Landmarks limit the Nystroem map, not what
+is learned: every telling word is an example, spellings that differ pool by their kernel, and each of ROUNDS adds
+landmarks for words that are misjudged.
+
+A document's score is the logistic of its highest sentence decision. Sentences end after . ! ? with white space and at
+line ends; one of more than LONG_SENTENCE words is read in stretches of that many that overlap by half. Letters that are
+spaced out one by one are also read as one word. At most about TRAIN_DOCS documents of either label are learned from,
+chosen by a hash of their id outside fold 0, and of those at most about TRAIN_SENTENCES sentences of either label, chosen
+by a hash of document and place; in these a word counts by its first LONGEST_TRAINED characters, and about
+NEGATIVE_WORDS of the other documents' words are examples, besides the hard ones. Null, empty and wordless texts score 0,
+as does everything where one label is missing. Repeated rows get equal results and are learned from once; a null doc_id
+counts as held out. Scoring reads only the text.
 """
 
 from __future__ import annotations
@@ -24,19 +34,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from fragmill.llm.common import hashed_fold
-
-TRAIN_DOCS, LANDMARKS, NEGATIVE_WORDS = 2000, 96, 8_000
-#: A telling word is in this share of the toxic training documents: rarer ones tell little.
-LEAST_SHARE = 0.015
-#: Rounds in which the negative words that score highest are added, how many, and their weight.
-HARD_ROUNDS, HARD_WORDS, HARD_WEIGHT = 2, 400, 20.0
-DECAY, STRETCH, LONGEST = 0.6, 8, 24
+from xxhash import xxh3_64_intdigest
+
+from fragmill.llm.common import forget, hashed_fold, materialise
+
+TRAIN_DOCS, TRAIN_SENTENCES, LONG_SENTENCE, LONGEST_TRAINED = 2000, 60_000, 48, 48
+#: Landmarks at first, half of them from toxic sentences; those that a round may add; the kernel of one with another, at most.
+LANDMARKS, MORE_LANDMARKS, TOO_NEAR = 96, 16, 0.8
+#: Rounds, and the log odds that a word must surely have to be telling.
+ROUNDS, SURE = 3, 3.0
+#: Negative words, those that score highest and are added in a round, and their weight.
+NEGATIVE_WORDS, HARD_WORDS, HARD_WEIGHT = 8_000, 400, 20.0
+DECAY, STRETCH, LONGEST, SOFTNESS = 0.6, 8, 24, 0.05
 #: Soft margin, steepness of the score, words remembered by a worker.
 COST, STEEPNESS, REMEMBERED = 300.0, 6.0, 500_000
-_SENTENCE = re.compile(r"[.!?\n]+\s*")
+_SENTENCE = re.compile(r"[.!?]+\s+|\n")
 _SPACED = re.compile(r"(?<!\S)\w(?: \w){3,}(?!\S)")
+_MARKS = "\"'#*$%&|<>.,;:!?()[]{}-_=+~`/\\"
 #: Letter codes: a-z, the letters U+00E0 to U+00FF, and a word's two ends; all else is a gap.
 LETTERS, ENDS = 64, "<>"
 _CODE = np.zeros(256, np.uint8)
@@ -45,11 +59,20 @@ _CODE[0xE0:0x100] = np.arange(27, 59)
 _CODE[[ord(c) for c in ENDS]] = 59, 60
 
 
-def words_of(text: str) -> set[str]:
-    """Distinct lower-case words, stripped of marks at their ends, and spaced-out words joined."""
-    found = {w.strip("\"'#*$%&|<>.,;:!?()[]{}-_=+~`/\\") for w in text.lower().split()}
-    found |= {m[0].replace(" ", "").lower() for m in _SPACED.finditer(text)}
-    found.discard("")
+def sentences_of(text: str) -> list[set[str]]:
+    """Distinct lower-case words, stripped of marks at their ends, of each sentence or stretch; spaced-out words joined."""
+    found = []
+    for sentence in _SENTENCE.split(text.lower()):
+        tokens = sentence.split()
+        if len(tokens) > 3:
+            tokens += [m[0].replace(" ", "") for m in _SPACED.finditer(sentence)]
+        for k in range(0, max(1, len(tokens) - LONG_SENTENCE // 2), LONG_SENTENCE // 2):
+            words = {t.strip(_MARKS) for t in (tokens if len(tokens) <= LONG_SENTENCE else tokens[k : k + LONG_SENTENCE])}
+            words.discard("")
+            if words:
+                found.append(words)
+            if len(tokens) <= LONG_SENTENCE:
+                break
     return found
 
 
@@ -146,16 +169,29 @@ class Machine:
         return best
 
     def highest(self, texts: list[str | None]) -> np.ndarray:
-        """The highest word decision of each text, -inf where it has no word."""
-        cut = [words_of(t) if t else set() for t in texts]
+        """The highest sentence decision of each text, -inf where it has no word."""
+        cut = [sentences_of(t) if t else [] for t in texts]
+        flat = [s for sentences in cut for s in sentences]
+        high = np.full(len(texts), -np.inf)
+        if flat:
+            np.maximum.at(high, np.repeat(np.arange(len(texts)), list(map(len, cut))), self.of_sentences(flat))
+        return high
+
+    def of_sentences(self, sentences: list[set[str]]) -> np.ndarray:
+        """The decision of each sentence; every one has a word."""
         known = self.known
-        new = sorted(set().union(*cut) - known.keys()) if cut else []
+        here = set().union(*sentences)
+        new = sorted(here - known.keys())
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = sorted(set().union(*cut))
-        if new:
-            known.update(zip(new, self.decisions(new).tolist(), strict=True))
-        return np.array([max(map(known.__getitem__, w), default=-np.inf) for w in cut])
+            new = sorted(here)
+        for k in range(0, len(new), 20_000):
+            known.update(zip(new[k : k + 20_000], self.decisions(new[k : k + 20_000]).tolist(), strict=True))
+        sizes = np.fromiter(map(len, sentences), np.int64, len(sentences))
+        starts = np.cumsum(sizes) - sizes
+        each = np.fromiter((known[w] for s in sentences for w in s), float, int(sizes.sum()))
+        top = np.maximum.reduceat(each, starts)
+        return top + SOFTNESS * np.log(np.add.reduceat(np.exp((each - np.repeat(top, sizes)) / SOFTNESS), starts))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         high = self.highest(texts)
@@ -178,53 +214,77 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarr
     return w
 
 
-def train(texts: list[str], toxic: list[int]) -> Machine | None:
-    """The machine of labelled texts; None where a label is missing or no word tells them apart."""
-    y = np.array(toxic, bool)
-    if y.all() or not y.any():
+def _apart(words: list[str], taken: list[str], most: int) -> list[str]:
+    """The first of ``words`` whose kernel with ``taken`` and with each other is not near 1, at most ``most``."""
+    words = words[: 2 * most]
+    if not words:
+        return []
+    every = [*taken, *words]
+    near = _Sparse(every).times(_Sparse(every).dense()) >= TOO_NEAR
+    chosen, held = [], list(range(len(taken)))
+    for k, word in enumerate(words, len(taken)):
+        if len(chosen) < most and not near[k, held].any():
+            chosen.append(word)
+            held.append(k)
+    return chosen
+
+
+def train(rows: list[tuple[int, int, set[str]]]) -> Machine | None:
+    """The machine of sentences (document, label, words); None where a label is missing."""
+    label: dict[int, bool] = {}
+    bags: dict[int, list[frozenset[str]]] = {}
+    for doc, toxic, words in rows:
+        label[doc] = bool(toxic)
+        bags.setdefault(doc, []).append(frozenset(words))
+    # a sentence counts once a label; a document of sentences that others have is a copy of them
+    seen: dict[bool, set[frozenset[str]]] = {True: set(), False: set()}
+    for doc in sorted(bags):
+        new = [s for s in dict.fromkeys(bags[doc]) if s not in seen[label[doc]]]
+        if 2 * len(new) < len(set(bags[doc])):
+            del bags[doc]
+        else:
+            seen[label[doc]].update(new)
+            bags[doc] = new
+    toxic, clean = sorted(d for d in bags if label[d]), sorted(d for d in bags if not label[d])
+    if not toxic or not clean:
         return None
-    per_doc = [words_of(t) for t in texts]
-    yes, no = Counter(), Counter()
-    # documents with one least word hash are taken as copies of one another and count once
-    once = {(min(map(hash_of, own), default=0), bool(label)): k for k, (own, label) in enumerate(zip(per_doc, y, strict=True))}
-    for k in once.values():
-        (yes if y[k] else no).update(per_doc[k])
-    n_yes, n_no = sum(label for _, label in once), sum(not label for _, label in once)
-    odds = {w: np.log((c + 0.5) / (n_yes + 1)) - np.log((no[w] + 0.5) / (n_no + 1)) for w, c in yes.items() if c >= max(2, LEAST_SHARE * n_yes) and len(w) >= 3}
-    telling = [w for w, o in sorted(odds.items(), key=lambda x: (-x[1] * np.log1p(yes[x[0]]), x[0])) if o > 1.5][: LANDMARKS // 2]
-    if not telling:
+    good, bad = [s for d in toxic for s in bags[d]], [s for d in clean for s in bags[d]]
+    sizes, clean_sizes = ([len(bags[d]) for d in docs] for docs in (toxic, clean))
+    starts, clean_starts = np.cumsum([0, *sizes[:-1]]), np.cumsum([0, *clean_sizes[:-1]])
+    held = {d: frozenset().union(*bags[d]) for d in bags}
+    yes, no = (Counter(w for d in docs for w in held[d]) for docs in (toxic, clean))
+    # log odds of a word in toxic documents, less their standard error
+    odds = {w: np.log((c + 0.5) * (len(clean) + 1) / ((no[w] + 0.5) * (len(toxic) + 1))) - np.sqrt(1 / (c + 0.5) + 1 / (no[w] + 0.5)) for w, c in yes.items() if len(w) >= 3}
+    telling = {w: x for w, x in odds.items() if x > SURE} or {w: x for w, x in odds.items() if not no[w]}
+    # an example is a toxic sentence that has a telling word, told by the most telling one
+    told = Counter(max(own, key=lambda w: (telling[w], w)) for s in good if (own := telling.keys() & s))
+    if not told:
         return None
-    common = [w for w, _ in sorted(no.items(), key=lambda x: (-x[1], x[0])) if len(w) >= 3][: LANDMARKS - len(telling)]
-    # instances: telling words of toxic sentences, by how often; words of other documents' sentences
-    told = set(telling)
-    good: Counter[str] = Counter()
-    for text, label in zip(texts, y, strict=True):
-        if label:
-            for sentence in _SENTENCE.split(text):
-                own = words_of(sentence) & told
-                if own:
-                    good[max(own, key=lambda w: (odds[w], w))] += 1
-    others = sorted(no.keys() - told, key=lambda w: (hash_of(w), w))
-    bad, landmarks = others[:NEGATIVE_WORDS], telling + common
-    machine = _fitted(landmarks, good, bad)
-    for _ in range(HARD_ROUNDS):
-        # the other documents' words that come closest become instances and, the closest of them, landmarks
-        decided = machine.decisions(others)
-        hard = [others[k] for k in np.argsort(-decided, kind="stable")[:HARD_WORDS] if decided[k] > -0.5]
-        if not hard:
-            break
-        bad += [w for w in hard if w not in set(bad)]
-        landmarks += [w for w in hard[: LANDMARKS // 4] if w not in set(landmarks)]
-        machine = _fitted(landmarks, good, bad, set(hard))
-    high = machine.highest(texts)
+    common = [w for w, _ in sorted(no.items(), key=lambda x: (-x[1], x[0])) if len(w) >= 3]
+    marks = _apart(sorted(told, key=lambda w: (-telling[w] * np.log1p(yes[w]), w)), [], LANDMARKS // 2)
+    marks += _apart(common, marks, LANDMARKS - len(marks))
+    others = sorted(no.keys() - told.keys(), key=lambda w: (hash_of(w), w))
+    bad_words, hard = dict.fromkeys(others[:NEGATIVE_WORDS]), set()
+    for left in range(ROUNDS, 0, -1):
+        machine = _fitted(marks, told, list(bad_words), hard)
+        high, high_clean = (np.maximum.reduceat(machine.of_sentences(x), at) for x, at in ((good, starts), (bad, clean_starts)))
+        if left > 1:
+            # the clean documents' words that come closest become examples and, the closest of them, landmarks
+            known = machine.known
+            decided = np.array([known[w] for w in others])
+            hard = {others[k] for k in np.argsort(-decided, kind="stable")[:HARD_WORDS] if decided[k] > -0.5}
+            bad_words |= dict.fromkeys(sorted(hard))
+            marks = marks + _apart(sorted(hard, key=lambda w: (-known[w], w)), marks, MORE_LANDMARKS)
+            # and so do, as landmarks, telling words that none resembles enough to be told by
+            marks = marks + _apart(sorted((w for w in told if known[w] < 0), key=lambda w: (-told[w], w)), marks, MORE_LANDMARKS)
+    y, high = np.r_[np.ones(len(toxic), bool), np.zeros(len(clean), bool)], np.r_[high, high_clean]
     # the cut with the best F1 on the training documents, in the middle of the gap below it
     order = np.argsort(-high, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + int(y.sum()))
     ranked = high[order]
+    f1 = 2 * np.cumsum(y[order]) / (np.arange(1, len(y) + 1) + int(y.sum()))
     f1[:-1][ranked[:-1] == ranked[1:]] = -1
     at = int(f1.argmax())
-    below = ranked[at + 1] if at + 1 < len(ranked) and np.isfinite(ranked[at + 1]) else ranked[at] - 1
+    below = ranked[at + 1] if at + 1 < len(ranked) else ranked[at] - 1
     machine.cut = float((ranked[at] + below) / 2)
     machine.known = {}
     return machine
@@ -244,19 +304,33 @@ def _fitted(landmarks: list[str], good: Counter[str], bad: list[str], hard: set[
 
 
 def hash_of(word: str) -> int:
-    from xxhash import xxh3_64_intdigest
-
     return xxh3_64_intdigest(word.encode("utf-8", "replace"))
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc, text, toxic in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            found = [" ".join(sorted(w[:LONGEST_TRAINED] for w in words)) for words in sentences_of(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([doc] * len(found), pa.int64()), pa.array([toxic] * len(found), pa.int32()), pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())], ["doc_id", "toxic", "place", "sentence"])
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Machine | None:
-    """Trains on a bounded sample of labelled documents outside fold 0."""
-    own = labels.where("doc_id is not null and toxic in (0, 1)").where(hashed_fold() != 0).select("doc_id", "toxic").distinct()
+    """Trains on a bounded sample of sentences of labelled documents outside fold 0.
+
+    A document with both labels counts as toxic; of different texts under one doc_id all sentences are one document's.
+    """
+    known = labels.where("doc_id is not null and toxic in (0, 1)").where(hashed_fold() != 0)
+    own = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     every = own.groupBy("toxic").agg(F.ceil(F.count("*") / TRAIN_DOCS).alias("every"))
     chosen = own.join(F.broadcast(every), "toxic").where(F.pmod(F.xxhash64("doc_id"), F.col("every")) == 0).select("doc_id", "toxic")
-    rows = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_cut, "doc_id long, toxic int, place int, sentence string")
+    rows = materialise(rows, "toxicity-sentences")
+    share = rows.groupBy("toxic").agg(F.ceil(F.count("*") / TRAIN_SENTENCES).alias("every"))
+    some = rows.join(F.broadcast(share), "toxic").where(F.pmod(F.xxhash64("doc_id", "place", F.lit(1)), F.col("every")) == 0)
+    taken = sorted(some.select("doc_id", "toxic", "place", "sentence").distinct().collect(), key=lambda r: (r[0], r[2], r[3]))
+    forget(rows)
+    return train([(doc, toxic, set(sentence.split(" "))) for doc, toxic, _, sentence in taken])
 
 
 def _scorer(machine: Machine | None, docs_at_once: int = 256):

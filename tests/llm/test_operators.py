@@ -177,7 +177,8 @@ def test_substrings(spark, docs):
 
 
 def test_packing(spark, docs):
-    bins = packing.pack(docs).collect()
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    bins = packing.pack(docs, path).collect()
     held = {}
     for b in bins:
         assert sum(b.lengths) == b.used <= b.capacity in packing.CAPACITIES and all(c < b.used for c in packing.CAPACITIES if c < b.capacity)
@@ -191,7 +192,7 @@ def test_packing(spark, docs):
     lengths = np.random.default_rng(1).integers(1, 3000, 300).tolist()
     bins = packing.best_fit(lengths)
     assert sorted(k for _, x in bins for k in x) == list(range(300)) and sum(lengths) / sum(c for c, _ in bins) > 0.95
-    assert packing.pack(empty(spark)).count() == 0
+    assert packing.pack(empty(spark), path).count() == 0
 
 
 def test_bpe(spark, docs):
