@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fragmill.llm.common import materialise, workers_find_package
@@ -19,35 +20,40 @@ from fragmill.llm.quality_rules import keep_good
 from fragmill.llm.secret_scan import redact
 from fragmill.llm.substring_dedup import dedup_substrings
 
+#: The vocabulary whose tokens are packed.
+VOCABULARY = "byte_bpe_50k.json"
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, those of null or empty text among them; frequent lines of the others are cut."""
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays: the one with the least doc_id."""
+    """One document of each group of linked ones stays: the one with the least doc_id, one of null doc_id only among its like.
+
+    Rows equal in doc_id and text count as one; rows without words all stay.
+    """
     workers_find_package(spark)
     return keep_one_each(docs)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sentences that an earlier document, or an earlier place, already has go."""
+    """Sentences that an earlier document, or an earlier place, already has go; rows of null doc_id pass unchanged."""
     workers_find_package(spark)
     return dedup_substrings(docs).drop("n_sentences_removed", "n_words_removed")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a placeholder."""
+    """Secrets are replaced by a placeholder; null and empty texts stay as they are."""
     return redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are packed into sequences."""
+    """Documents are packed into sequences by their tokens; those without a token are in none, copies are packed each."""
     workers_find_package(spark)
-    return pack(docs)
+    return pack(docs, public_tokenizers.path(VOCABULARY))
 
 
 STAGES: list[tuple[str, Stage]] = [
