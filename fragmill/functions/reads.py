@@ -116,3 +116,41 @@ def substitutions(tag: str, most: int) -> Column:
 def hamming(a: str, b: str) -> Column:
     """Substitutions between strings of one length; null where the lengths differ."""
     return F.expr(f"case when length({a}) = length({b}) then size(filter(zip_with(split({a}, ''), split({b}, ''), (x, y) -> x <> y), z -> z)) end")
+
+
+def quality_array(quals: str) -> Column:
+    """Phred+33 text as array<int>."""
+    return quality_array_of(F.col(quals))
+
+
+def quality_array_of(quals: Column) -> Column:
+    """As ``quality_array``, of an expression."""
+    return F.transform(F.split(quals, ""), lambda c: F.ascii(c) - SANGER)
+
+
+def quality_text(scores: str) -> Column:
+    """array<int> as Phred+33 text."""
+    return F.array_join(F.transform(scores, lambda q: F.chr(q + SANGER)), "")
+
+
+def pack_bases(bases: str) -> Column:
+    """struct(n, packed) of a string over ACGT: two bits a base, the first in the highest, 16 bases a word, the last one filled up with A."""
+    digits = f"rpad(translate({bases}, 'ACGT', '0123'), cast(ceil(length({bases}) / 16) * 16 as int), '0')"
+    words = f"transform(sequence(0, cast(length({digits}) div 16 as int) - 1), k -> lpad(conv(substr({digits}, k * 16 + 1, 16), 4, 16), 8, '0'))"
+    good = f"assert_true({bases} rlike '^[ACGT]*$', 'only ACGT can be packed')"
+    return F.expr(f"case when {good} is null then struct(length({bases}) as n, unhex(if(length({bases}) = 0, '', array_join({words}, ''))) as packed) end")
+
+
+def unpack_bases(packed: str) -> Column:
+    """The string that ``pack_bases`` packed into column ``packed``."""
+    words = f"transform(sequence(0, greatest(length({packed}.packed) div 4 - 1, 0)), k -> lpad(conv(hex(substr({packed}.packed, cast(k * 4 + 1 as int), 4)), 16, 4), 16, '0'))"
+    return F.expr(f"substr(translate(array_join({words}, ''), '0123', 'ACGT'), 1, {packed}.n)")
+
+
+def attributes_json(names: str) -> Column:
+    """A map of attribute names to values as JSON text, keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(names))))
+
+
+def tile_code(surface: str, swath: str, tile: str) -> Column:
+    return F.format_string("%d%d%02d", surface, swath, tile)

@@ -15,6 +15,7 @@ from fragmill.functions import reads as R
 UNPLACED = 2**63 - 1
 #: Fixed values of the flow-cell sort: lanes, tiles a lane (as the partition stride counts them), reads.
 LANES, TILES = 8, 96
+CONTIGS_LIMIT = 500_000
 
 
 # -- duplicates ------------------------------------------------------------------------------------------------------
@@ -52,8 +53,12 @@ def sort_lines(lines: DataFrame) -> DataFrame:
 
 
 def coordinate(sam: DataFrame, contigs: DataFrame) -> DataFrame:
-    """``sam`` with ``coord``: the contig's start plus the position, the greatest long where there is no contig."""
-    placed = sam.join(F.broadcast(contigs.select(F.col("name").alias("rname"), F.col("start").alias("contig_start"))), "rname", "left")
+    """``sam`` with ``coord``: the contig's start plus the position, the greatest long where there is no contig.
+
+    Contigs are broadcast up to CONTIGS_LIMIT; an assembly of more is joined by shuffle.
+    """
+    places = contigs.select(F.col("name").alias("rname"), F.col("start").alias("contig_start"))
+    placed = sam.join(F.broadcast(places) if contigs.limit(CONTIGS_LIMIT + 1).count() <= CONTIGS_LIMIT else places, "rname", "left")
     unknown = F.raise_error(F.concat(F.lit("unknown contig "), F.col("rname"))).cast("long")
     at = F.when(F.coalesce("rname", F.lit("*")) == "*", F.lit(UNPLACED)).when(F.col("contig_start").isNull(), unknown).otherwise(F.col("contig_start") + F.col("pos"))
     return placed.withColumn("coord", at).drop("contig_start").select(*sam.columns, "coord")
@@ -122,15 +127,21 @@ def attribute_text(attributes: str) -> Column:
     return F.expr(f"array_join({entries}, '\\t')")
 
 
-def flat_to_sam(records: DataFrame) -> DataFrame:
-    """SAM columns of flat alignment records (0-based starts); sequence and quality only on primary alignments."""
+def flat_to_sam(records: DataFrame, duplicates: bool = False) -> DataFrame:
+    """SAM columns of flat alignment records (0-based starts); sequence and quality only on primary alignments.
+
+    A record with ``mateLost`` has no bit of its mate left.
+    """
     primary = ~F.coalesce("secondaryAlignment", F.lit(False))
     star = lambda c: F.coalesce(F.col(c), F.lit("*"))
     mapped, mate = F.col("readMapped"), F.col("mateMapped")
     rnext = F.when(~mate | F.col("mateContig").isNull(), "*").when(F.col("mateContig") == F.col("contig"), "=").otherwise(F.col("mateContig"))
+    flag = sam_flag(duplicates)
+    if "mateLost" in records.columns:
+        flag = F.when(F.col("mateLost"), flag.bitwiseAND(F.lit(0x7FF & ~(R.PROPER | R.MATE_UNMAPPED | R.MATE_REVERSE)))).otherwise(flag)
     tags = F.concat_ws("\t", F.when(F.col("mismatchingPositions").isNotNull(), F.concat(F.lit("MD:Z:"), "mismatchingPositions")), F.nullif(attribute_text("attributes"), F.lit("")))
     return records.select(
-        F.regexp_replace("readName", "/[0-9]$", "").alias("qname"), sam_flag().alias("flag"), F.when(mapped, star("contig")).otherwise("*").alias("rname"),
+        F.regexp_replace("readName", "/[0-9]$", "").alias("qname"), flag.alias("flag"), F.when(mapped, star("contig")).otherwise("*").alias("rname"),
         F.when(mapped, F.col("start") + 1).otherwise(0).alias("pos"), F.coalesce("mapq", F.lit(0)).alias("mapq"), star("cigar").alias("cigar"), rnext.alias("rnext"),
         F.when(mate, F.col("mateStart") + 1).otherwise(0).alias("pnext"),
         F.when(mapped & mate, insert_size("start", "end", "readNegativeStrand", "contig", "mateStart", "mateEnd", "mateNegativeStrand", "mateContig")).otherwise(0).alias("tlen"),
@@ -164,6 +175,23 @@ def header(contigs: DataFrame, sort_order: str = "coordinate", read_groups: list
     return "\n".join([*lines, "@PG\tID:fragmill"]) + "\n"
 
 
+def write_merged(spark, text: str, lines: DataFrame, path: str) -> None:
+    """One SAM file at ``path``: the header ``text``, then ``lines`` (value) in their order. Parts are written beside it first."""
+    from fragmill.sources import formats
+
+    parts = f"{path}.parts"
+    lines.write.text(parts)
+    formats.write_text(spark, f"{parts}/part-", text)
+    formats.concatenate(spark, parts, path)
+    fs, folder = formats._file_system(spark, parts)
+    fs.delete(folder, True)
+
+
+def full_order(df: DataFrame) -> DataFrame:
+    """Rows in the order of all their columns."""
+    return df.orderBy(*df.columns)
+
+
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """Reads that two aligners place differently: qname, read_num and both (rname, pos, flag), by all columns."""
     side = lambda df, s: df.select("qname", "read_num", *(F.col(c).alias(f"{c}_{s}") for c in ("rname", "pos", "flag")))
@@ -172,12 +200,15 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def on_holes(spans: DataFrame, holes: DataFrame, width: int = 1000) -> DataFrame:
-    """``spans`` (start, length) with ``on_hole``: whether it overlaps a hole. Both sides are cut into bins of ``width``."""
+    """``spans`` (start, length, any more) with ``on_hole``: whether it overlaps a hole; one of null start doesn't.
+
+    Both sides are cut into bins of ``width``.
+    """
     bins = lambda s, n: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor((F.col(s) + F.col(n) - 1) / width)))
     h = holes.select(F.col("start").alias("h_start"), F.col("length").alias("h_length")).withColumn("bin", bins("h_start", "h_length"))
-    s = spans.withColumn("bin", bins("start", "length"))
-    hit = s.join(h, "bin").where("start < h_start + h_length and h_start < start + length").select(*spans.columns).distinct().withColumn("on_hole", F.lit(True))
-    return spans.join(hit, spans.columns, "left").withColumn("on_hole", F.coalesce("on_hole", F.lit(False)))
+    s = spans.select("start", "length").where("start is not null and length is not null").distinct().withColumn("bin", bins("start", "length"))
+    hit = s.join(h, "bin").where("start < h_start + h_length and h_start < start + length").select("start", "length").distinct().withColumn("on_hole", F.lit(True))
+    return spans.join(hit, ["start", "length"], "left").select(*(F.col(c) for c in spans.columns), F.coalesce("on_hole", F.lit(False)).alias("on_hole"))
 
 
 # -- external programs -----------------------------------------------------------------------------------------------
@@ -221,8 +252,22 @@ def align(pairs: DataFrame, aligner: Callable[[], Aligner], batch: int = 10_000)
     return pairs.mapInPandas(run, "value string")
 
 
-def run_commands(commands: DataFrame, runner: Callable[[str], list[str]]) -> DataFrame:
-    """Output lines of one command a row (column command); the runner starts the program and raises if it fails."""
+def shell(command: str) -> list[str]:
+    """The lines that a program prints; a program that fails raises with its error output."""
+    import shlex
+    import subprocess
+
+    done = subprocess.run(shlex.split(command), capture_output=True, text=True, check=False)
+    if done.returncode:
+        raise RuntimeError(f"{command!r} failed with {done.returncode}: {done.stderr[-2000:]}")
+    return done.stdout.splitlines()
+
+
+def run_commands(commands: DataFrame, runner: Callable[[str], list[str]] = shell) -> DataFrame:
+    """Output lines of one command a row (column command); the runner starts the program and raises if it fails.
+
+    A partition's commands run one after the other: a list of one row a partition runs them side by side.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

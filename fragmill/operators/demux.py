@@ -30,6 +30,20 @@ def ambiguous(sheet: DataFrame, mismatches: int) -> DataFrame:
     return a.join(b, "lane").where("a < b").where(hamming("a", "b") <= 2 * mismatches)
 
 
+def refuse_ambiguous(sheet: DataFrame, mismatches: int) -> None:
+    """Raise if two barcodes of a lane could both claim a read. A sample sheet is small: one flow cell's."""
+    first = ambiguous(sheet, mismatches).head()
+    if first is not None:
+        raise ValueError(f"barcodes {first['a']} and {first['b']} of lane {first['lane']} overlap at {mismatches} mismatches")
+
+
+def required(reads: DataFrame) -> DataFrame:
+    """``reads``, raising where a field of the location, or the read number, is missing or the read number isn't positive."""
+    missing = F.concat_ws(", ", *(F.when(F.col(c).isNull(), c) for c in [*LOCATION, "read"]))
+    fault = F.when(missing != "", F.concat(F.lit("read without "), missing)).when(F.col("read") <= 0, F.lit("read number isn't positive"))
+    return reads.withColumn("read", F.when(fault.isNull(), F.col("read")).otherwise(F.raise_error(fault).cast("int")))
+
+
 def _hint(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SHEET_LIMIT + 1).count() <= SHEET_LIMIT else df
 
@@ -39,9 +53,11 @@ def lookup(tags: DataFrame, sheet: DataFrame, mismatches: int = 0) -> DataFrame:
 
     A lane with a single sheet row takes any tag, at 0 mismatches. Up to two substitutions, the sheet's rows are
     exploded to their neighbourhoods and looked up by equality; beyond that, distances are compared within the lane.
+    Barcodes of a lane whose neighbourhoods overlap raise.
     """
     if not 0 <= mismatches <= 10:
         raise ValueError("mismatches must be in 0..10")
+    refuse_ambiguous(sheet, mismatches)
     sheet = sheet.withColumns({"in_lane": F.count("*").over(Window.partitionBy("lane")), "index": F.upper("index")})
     entry = ["sampleid", "sampleproject", F.col("index").alias("barcode"), F.col("fcid").alias("sheet_fcid")]
     alone = sheet.where("in_lane = 1").select("lane", F.col("sampleid").alias("l_sampleid"), F.col("sampleproject").alias("l_sampleproject"), F.col("index").alias("l_barcode"), F.col("fcid").alias("l_fcid"))
@@ -66,14 +82,17 @@ def lookup(tags: DataFrame, sheet: DataFrame, mismatches: int = 0) -> DataFrame:
     )
 
 
-def demultiplex(reads: DataFrame, sheet: DataFrame, mismatches: int = 0, no_index: bool = False, separate_reads: bool = False, trim_last_base: bool = False) -> DataFrame:
+def demultiplex(reads: DataFrame, sheet: DataFrame, mismatches: int = 0, no_index: bool = False, separate_reads: bool = False, trim_last_base: bool = False, drop_failed: bool = False) -> DataFrame:
     """Data reads with sampleid, project, mismatches and destination.
 
     Read 2 of a location is its index read, looked up before anything is shuffled; its sample goes to the location's
     other reads by one join on the location, and reads above 2 move down by one. Without index reads, lanes of one
-    sample name theirs. Locations without an index read get no sample.
+    sample name theirs. Locations without an index read get no sample. With ``drop_failed``, reads that failed the
+    machine's filter go first. ``project`` and ``sample`` are the destination's folders; reads of no sample have the one.
     """
-    where = reads.withColumn("location", location())
+    if drop_failed:
+        reads = reads.where(F.coalesce("filter_passed", F.lit(True)))
+    where = required(reads).withColumn("location", location())
     if no_index:
         data = lookup(where.withColumn("tag", F.lit("")), sheet, 0).drop("tag")
         number = F.col("read")
@@ -92,6 +111,8 @@ def demultiplex(reads: DataFrame, sheet: DataFrame, mismatches: int = 0, no_inde
         {
             "read": number,
             "flowcell_id": F.when(known, F.coalesce("flowcell_id", "sheet_fcid")).otherwise(F.coalesce("flowcell_id", F.lit(""))),
+            "project": F.when(known, project).otherwise(F.lit(UNKNOWN)),
+            "sample": F.when(known, sanitise("sampleid")),
             "destination": F.when(known, F.concat_ws("/", *parts)).otherwise(F.concat_ws("/", F.lit(UNKNOWN), *([number.cast("string")] if separate_reads else []))),
         }
     )
@@ -103,3 +124,27 @@ def lane_content(sheet: DataFrame) -> DataFrame:
     held = sheet.select("sampleid", "lane").distinct().withColumn("held", F.lit(True))
     every = samples.select("sampleid", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("lane"))
     return every.join(held, ["sampleid", "lane"], "left").select("sampleid", "lane", F.concat(F.col("lane") - 1, F.lit(":"), F.when(F.col("held"), F.col("sampleid")).otherwise("")).alias("content"))
+
+
+def lane_content_files(sheet: DataFrame) -> list[tuple[str, str]]:
+    """(file name, text) of each sample of the sheet: eight lines, one a lane."""
+    rows = lane_content(sheet).orderBy("sampleid", "lane").collect()
+    texts: dict[str, list[str]] = {}
+    for r in rows:
+        texts.setdefault(r["sampleid"], []).append(r["content"] + "\n")
+    return [(f"LaneContent.{sample}", "".join(lines)) for sample, lines in texts.items()]
+
+
+def demux_fragments(found: DataFrame) -> DataFrame:
+    """Fragments of demultiplexed reads: one a location and destination, its sequences in read order."""
+    one = F.struct("read", "bases", F.col("quals").alias("qualities"), (~F.coalesce("filter_passed", F.lit(True))).alias("failedVendorQualityChecks"))
+    grouped = found.groupBy("project", "sample", "destination", F.col("location").alias("readName")).agg(F.min("instrument").alias("instrument"), F.min("run_number").cast("string").alias("runId"), F.sort_array(F.collect_list(one)).alias("s"))
+    return grouped.select("project", "sample", "destination", "readName", "instrument", "runId", F.transform("s", lambda x: x.dropFields("read")).alias("sequences"))
+
+
+def demux_counters(found: DataFrame) -> DataFrame:
+    """(group, name, value): reads and bases by destination, and reads by the number of mismatches of their barcode."""
+    by = found.groupBy("destination").agg(F.count("*").alias("reads"), F.sum(F.length("bases")).cast("long").alias("bases"))
+    of_sample = by.unpivot("destination", ["reads", "bases"], "name", "value").select(F.col("destination").alias("group"), "name", "value")
+    near = found.where("sampleid is not null").groupBy("mismatches").agg(F.count("*").alias("value"))
+    return of_sample.union(near.select(F.lit("barcode mismatches").alias("group"), F.col("mismatches").cast("string").alias("name"), "value"))

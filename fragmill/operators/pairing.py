@@ -80,3 +80,56 @@ def fragment_reads(found: DataFrame) -> DataFrame:
     rows = found.select(checked.alias("p"), F.posexplode("sequences").alias("k", "s"))
     numbers = {n: k for k, n in enumerate(["run_number", "lane", "tile", "xpos", "ypos"], 1)}
     return rows.select(F.col("p")[0].alias("instrument"), *(F.col("p")[k].cast("int").alias(n) for n, k in numbers.items()), F.lit(None).cast("string").alias("index_seq"), (F.col("k") + 1).alias("read"), F.col("s.bases").alias("bases"), F.col("s.qualities").alias("quals"), (~F.col("s.failedVendorQualityChecks")).alias("filter_passed"))
+
+
+def prq_fragments(pairs: DataFrame) -> DataFrame:
+    """Fragments of pairs (id, bases1, quals1, bases2, quals2): two sequences and no alignments; a pair without a mate raises."""
+    mate = F.when(F.col("bases2").isNotNull(), F.col("bases2")).otherwise(F.raise_error(F.concat(F.lit("no second read: "), F.col("id"))))
+    sequences = F.array(F.struct(F.col("bases1").alias("bases"), F.col("quals1").alias("qualities")), F.struct(mate.alias("bases"), F.col("quals2").alias("qualities")))
+    return pairs.select(F.col("id").alias("readName"), sequences.alias("sequences"), F.array().cast("array<struct<readNum:int,contig:string>>").alias("alignments"))
+
+
+def quiet_pairs(reads: DataFrame) -> DataFrame:
+    """(location, status, bases1, quals1, bases2, quals2): reads that passed the filter, ``OK`` where exactly two are left, else ``FAILED``."""
+    kept = reads.where(F.coalesce("filter_passed", F.lit(True))).select(location().alias("location"), F.struct("read", "bases", "quals").alias("r"))
+    grouped = kept.groupBy("location").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    two = F.size("r") == 2
+    fields = [F.when(two, F.get("r", F.lit(k))[c]).alias(f"{c}{k + 1}") for k in range(2) for c in ("bases", "quals")]
+    return grouped.select("location", F.when(two, "OK").otherwise("FAILED").alias("status"), *fields)
+
+
+def by_tile(fragments: DataFrame, size: int = 10_000) -> DataFrame:
+    """instrument, runId, lane, tile, pack and fragments: fragments of one tile together, at most about ``size`` a row.
+
+    A tile's packs are dealt by a hash of the name, so a tile with very many clusters is no task of its own.
+    """
+    p = F.split("readName", ":")
+    placed = fragments.select("instrument", "runId", p[2].cast("int").alias("lane"), p[3].cast("int").alias("tile"), F.struct("readName", "sequences").alias("f"))
+    keys = ["instrument", "runId", "lane", "tile"]
+    sizes = placed.groupBy(*keys).agg(F.ceil(F.count("*") / size).alias("packs"))
+    dealt = placed.join(F.broadcast(sizes), keys).withColumn("pack", F.pmod(F.xxhash64("f.readName"), F.col("packs")).cast("int"))
+    return dealt.groupBy(*keys, "pack").agg(F.sort_array(F.collect_list("f")).alias("fragments"))
+
+
+#: Marks of the barcode and of the read number at the end of a read's name.
+BARCODE, READ_NUMBER = r"#([ACGTN0-9]+)", r"/([0-9])$"
+
+
+def name_fields(name: str = "readName") -> Column:
+    """struct(dialect, instrument, run_number, lane, tile, xpos, ypos, index_seq, read, filter) of a read's name, by the first dialect that fits.
+
+    ``illumina``: seven fields at colons, then white space and read, filter, control and perhaps index; ``fastq``: six
+    fields, with #index and /read after the last; ``bare``: no more than #index and /read. Else null.
+    """
+    c = F.col(name)
+    long = r"^([^:\s]+):(\d+):[^:\s]*:(\d+):(\d+):(-?\d+):(-?\d+)\s+(\d):([YN]):\d*(?::([ACGTN0-9]*))?$"
+    short = r"^([^:\s]+):(\d+):(\d+):(\d+):(-?\d+):(-?\d+)(?:[#/].*)?$"
+    part = lambda pattern, k: F.nullif(F.regexp_extract(c, pattern, k), F.lit(""))
+    names, kinds = ["instrument", "run_number", "lane", "tile", "xpos", "ypos"], ["string", *["int"] * 5]
+    place = lambda pattern: [part(pattern, k + 1).cast(t).alias(n) for k, (n, t) in enumerate(zip(names, kinds, strict=True))]
+    index, read = part(BARCODE, 1), part(READ_NUMBER, 1).cast("int")
+    none = [F.lit(None).cast(t).alias(n) for n, t in zip(names, kinds, strict=True)]
+    of_long = F.struct(F.lit("illumina").alias("dialect"), *place(long), part(long, 9).alias("index_seq"), part(long, 7).cast("int").alias("read"), part(long, 8).alias("filter"))
+    rest = [index.alias("index_seq"), read.alias("read"), F.lit(None).cast("string").alias("filter")]
+    of_short, bare = F.struct(F.lit("fastq").alias("dialect"), *place(short), *rest), F.struct(F.lit("bare").alias("dialect"), *none, *rest)
+    return F.when(c.rlike(long), of_long).when(c.rlike(short), of_short).when(index.isNotNull() | read.isNotNull(), bare)

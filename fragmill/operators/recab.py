@@ -11,8 +11,8 @@ from fragmill.functions import reads as R
 
 #: Known sites are broadcast up to this many positions; beyond it they are joined by shuffle.
 SITES_LIMIT = 1_000_000
-#: A covariate is a column of (rg, quality, cycle, dinuc) built per base; others can be added by name.
-COVARIATES: dict[str, Column | str] = {"rg": "rg", "quality": "quality", "cycle": "cycle", "dinuc": "dinuc"}
+#: The usual covariates, columns of ``bases``.
+COVARIATES = ("rg", "quality", "cycle", "dinuc")
 
 
 def reject_reason(mapq: str = "mapq", flag: str = "flag") -> Column:
@@ -42,7 +42,7 @@ def bases(sam: DataFrame, default_rg: str | None = None) -> DataFrame:
     before = F.when(F.col("reverse"), F.expr("if(i = n - 1, 'N', substring(seq, i + 2, 1))")).otherwise(F.expr("if(i = 0, 'N', substring(seq, i, 1))"))
     pair = F.when(F.col("reverse"), F.concat(other(before), other("b"))).otherwise(F.concat(before, "b"))
     cycle = F.when(F.col("reverse"), F.col("n") - F.col("i")).otherwise(F.col("i") + 1) * F.when(F.col("second"), -1).otherwise(1)
-    return base.select("rg", (F.col("code") - R.SANGER).alias("quality"), cycle.alias("cycle"), F.when(before == "N", "NN").otherwise(pair).alias("dinuc"), "contig", "ref", "mismatch")
+    return base.select("rg", (F.col("code") - R.SANGER).alias("quality"), cycle.alias("cycle"), F.when(before == "N", "NN").otherwise(pair).alias("dinuc"), "contig", "ref", "mismatch", "second", "reverse")
 
 
 def sites(variants: DataFrame) -> DataFrame:
@@ -56,12 +56,16 @@ def without_sites(base: DataFrame, variants: DataFrame) -> DataFrame:
     return base.join(F.broadcast(known) if small else known, ["contig", "ref"], "left_anti")
 
 
-def table(sam: DataFrame, variants: DataFrame | None = None, smoothing: float = 0.0, max_quality: int = 40, default_rg: str | None = None, covariates: Sequence[str] = tuple(COVARIATES)) -> DataFrame:
-    """Covariates, n_observations, n_mismatches, q_empirical; partial aggregation precedes the one shuffle."""
+def table(sam: DataFrame, variants: DataFrame | None = None, smoothing: float = 0.0, max_quality: int = 40, default_rg: str | None = None, covariates: Sequence[str | tuple[str, Column]] = COVARIATES) -> DataFrame:
+    """Covariates, n_observations, n_mismatches, q_empirical; partial aggregation precedes the one shuffle.
+
+    A covariate is a column of ``bases``, or a name and an expression over these columns.
+    """
     base = bases(sam, default_rg)
     if variants is not None:
         base = without_sites(base, variants)
-    counts = base.groupBy(*covariates).agg(F.count("*").alias("n_observations"), F.sum(F.col("mismatch").cast("long")).alias("n_mismatches"))
+    keys = [F.col(c) if isinstance(c, str) else c[1].alias(c[0]) for c in covariates]
+    counts = base.groupBy(*keys).agg(F.count("*").alias("n_observations"), F.sum(F.col("mismatch").cast("long")).alias("n_mismatches"))
     return counts.withColumn("q_empirical", R.empirical_quality("n_observations", "n_mismatches", smoothing, max_quality))
 
 
@@ -71,3 +75,10 @@ def counters(sam: DataFrame) -> DataFrame:
     reason = F.coalesce(reject_reason(), F.lit("Used"))
     total = sam.select(reason.alias("r")).agg(*(F.sum((F.col("r") == n).cast("long")).alias(n) for n in names))
     return total.unpivot([], names, "name", "value").select("name", F.coalesce("value", F.lit(0)).alias("value"))
+
+
+def write_csv(counted: DataFrame, path: str) -> None:
+    """The table as one CSV file with a heading; a table has a few thousand rows, whatever its reads."""
+    #: Fixed value: the heading of the table.
+    heading = ["ReadGroup", "QualityScore", "Cycle", "Dinuc", "nObservations", "nMismatches", "Qempirical"]
+    counted.toDF(*heading).coalesce(1).write.option("header", True).csv(path)

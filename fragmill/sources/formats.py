@@ -1,7 +1,8 @@
 """Formats: qseq, fastq, prq, sam, fragment Parquet, TSV, VCF, ROD, reference annotations, FASTA, sample sheets.
 
 Text formats are parsed by ``spark.read.text`` and column expressions, so compressed input is transparent, columns are
-pruned and no Python runs per row. A malformed line raises, unless ``mode="quarantine"`` drops it.
+pruned and no Python runs per row. A malformed line raises, with the file and block it is in, unless
+``mode="quarantine"`` drops it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fragmill.functions import reads as R
 
@@ -22,13 +24,16 @@ SHEET = ["fcid", "lane", "sampleid", "sampleref", "index", "description", "contr
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.text(path).where("value != ''")
+    """value and ``at``, the line's file and the place at which its block begins."""
+    block = F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.file_block_start").cast("string"))
+    return spark.read.text(path).where("value != ''").select("value", block.alias("at"))
 
 
 def _checked(df: DataFrame, good: Column, what: str, mode: str) -> DataFrame:
     if mode == "quarantine":
         return df.where(good)
-    return df.withColumn("value", F.when(good, F.col("value")).otherwise(F.raise_error(F.concat(F.lit(f"bad {what} line: "), F.col("value")))))
+    where = [F.lit(" in block "), F.col("at")] if "at" in df.columns else []
+    return df.withColumn("value", F.when(good, F.col("value")).otherwise(F.raise_error(F.concat(F.lit(f"bad {what} line"), *where, F.lit(": "), F.col("value")))))
 
 
 def read_qseq(spark: SparkSession, path: str | list[str], encoding: str = "illumina", mode: str = "fail") -> DataFrame:
@@ -40,26 +45,86 @@ def read_qseq(spark: SparkSession, path: str | list[str], encoding: str = "illum
     return df.select(*(x.alias(n) for x, n in zip(columns, READ, strict=True)))
 
 
+def _fastq_records(spark: SparkSession, path: str | list[str], mode: str) -> DataFrame:
+    """id, bases and quals of four-line records, without a shuffle of whole records.
+
+    The file is read in pieces that end before a line which begins with @, so files are split like any text. Where that
+    line is one of qualities, a record comes as two pieces; only these are brought together, by their place.
+    """
+    pieces = spark.read.option("lineSep", "\n@").text(path).select(
+        F.regexp_replace("value", r"\r?\n?$", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")
+    )
+    # the first piece of a file keeps its @
+    first = (F.col("block") == 0) & F.col("value").startswith("@") & F.col("value").contains("\n")
+    pieces = pieces.withColumn("value", F.when(first, F.substring("value", 2, 2**31 - 1)).otherwise(F.col("value"))).where("value != ''")
+    lines = F.split(F.regexp_replace("value", "\r", ""), "\n", -1)
+    bases = r"^[A-Za-z.*]*$"
+    body = (lines[1].rlike(bases)) & lines[2].startswith("+")
+    n = F.size(lines)
+    kind = F.when((n == 4) & body & (F.length(lines[1]) == F.length(lines[3])), "whole").when((n == 3) & body, "head").when(n == 1, "tail").otherwise("bad")
+    told = pieces.select(lines.alias("c"), kind.alias("kind"), "file", "block", "place", "value")
+    one = lambda c, quals: (F.get(F.col(c), F.lit(0)).alias("id"), F.get(F.col(c), F.lit(1)).alias("bases"), quals.alias("quals"))
+    fault = F.raise_error(F.concat(F.lit("bad fastq record in "), F.col("file"), F.lit(": "), F.col("value")))
+    whole = told.where("kind in ('whole', 'bad')" if mode == "fail" else "kind = 'whole'")
+    whole = whole.select(*one("c", F.when(F.col("kind") == "whole", F.col("c")[3]).otherwise(fault)))
+    # a head's tail is the next piece of its block, or the first of a later block of its file
+    halves = told.where("kind in ('head', 'tail')").select("file", "block", "place", "kind", "c", "value")
+    tails = halves.where("kind = 'tail'").select("file", "block", (F.col("place") - 1).alias("place"), F.col("c")[0].alias("rest"))
+    met = halves.where("kind = 'head'").join(tails, ["file", "block", "place"], "full_outer")
+    beside = met.where("kind is not null and rest is not null")
+    apart = met.where("kind is null or rest is null").withColumn("after", F.lead("rest").over(Window.partitionBy("file").orderBy("block", "place")))
+    apart = apart.withColumn("before", F.lag("kind").over(Window.partitionBy("file").orderBy("block", "place")))
+    joined = beside.select("file", "c", "value", "rest", F.lit(False).alias("lone")).union(
+        apart.where("kind is not null or before is null").select("file", "c", "value", F.col("after").alias("rest"), F.col("kind").isNull().alias("lone"))
+    )
+    quals = F.concat(F.lit("@"), F.col("rest"))
+    fits = ~F.col("lone") & F.col("rest").isNotNull() & (F.length(quals) == F.length(F.get(F.col("c"), F.lit(1))))
+    what = F.raise_error(F.concat(F.lit("bad fastq record in "), F.col("file"), F.lit(": "), F.coalesce("value", "rest")))
+    joined = joined.where(fits) if mode == "quarantine" else joined
+    return whole.union(joined.select(*one("c", F.when(fits, quals).otherwise(what))))
+
+
 def read_fastq(spark: SparkSession, path: str | list[str], encoding: str = "sanger", mode: str = "fail") -> DataFrame:
     """READ rows of four-line records, with metadata ids or ids that end in /1 or /2.
 
-    Records are cut at a line that begins with @ and is followed, two lines on, by a + line; the file is the unit of
-    work, as for compressed input.
+    A record that lacks a line, has other than letters for bases, no + line or qualities of another length raises, or is
+    dropped with ``mode="quarantine"``.
     """
-    text = spark.read.text(path, wholetext=True)
-    record = r"(?m)^@([^\n\r]*)\r?\n([A-Za-z.*]*)\r?\n\+[^\n\r]*\r?\n([^\n\r]*)"
-    fields = [F.regexp_extract_all("value", F.lit(record), F.lit(k)) for k in (1, 2, 3)]
-    df = text.select(F.explode(F.arrays_zip(*(f.alias(n) for f, n in zip(fields, ("id", "bases", "quals"), strict=True)))).alias("r")).select("r.*")
+    df = _fastq_records(spark, path, mode)
     meta = r"^([^:\s]+):(\d+):([^:\s]*):(\d+):(\d+):(-?\d+):(-?\d+)(?:\s+(\d):([YN]):(\d*):([ACGTNacgtn]*))?$"
     m = [F.nullif(F.regexp_extract("id", meta, k), F.lit("")) for k in range(1, 12)]
     plain = F.nullif(F.regexp_extract("id", r"/([12])$", 1), F.lit("")).cast("int")
     quals = R.reencode("quals") if encoding == "illumina" else F.col("quals")
-    bad = F.length("bases") != F.length("quals")
-    df = df.where(~bad) if mode == "quarantine" else df.withColumn("quals", F.when(bad, F.raise_error(F.lit("fastq: bases and qualities differ in length"))).otherwise(F.col("quals")))
     columns = [m[0], m[1].cast("int"), m[2], *(m[k].cast("int") for k in range(3, 7)), m[10], F.coalesce(m[7].cast("int"), plain), F.translate(F.upper("bases"), ".", "N"), quals, m[8] == "N", F.col("id")]
     return df.select(*(x.alias(n) for x, n in zip(columns, READ, strict=True)))
 
 
+def read_interleaved_qseq(spark: SparkSession, path: str | list[str], reads: int = 2, encoding: str = "illumina") -> DataFrame:
+    """location and sequences (bases, qualities, in read order) of files that hold all reads of a cluster, in any order.
+
+    Read numbers other than 1 to ``reads`` raise, as two reads of one number do; clusters that lack a read are left out.
+    """
+    if reads not in (1, 2, 3):
+        raise ValueError("reads must be 1, 2 or 3")
+    df = read_qseq(spark, path, encoding)
+    at = F.concat_ws(":", "instrument", "run_number", "lane", "tile", "xpos", "ypos")
+    number = F.when(F.col("read").between(1, reads), F.col("read")).otherwise(F.raise_error(F.concat(F.lit("unexpected read number "), F.col("read"))))
+    grouped = df.groupBy(at.alias("location")).agg(F.sort_array(F.collect_list(F.struct(number.alias("read"), "bases", F.col("quals").alias("qualities")))).alias("s"))
+    twice = F.size(F.array_distinct(F.transform("s", lambda x: x["read"]))) < F.size("s")
+    s = F.when(twice, F.raise_error(F.concat(F.lit("a read number comes twice at "), F.col("location")))).otherwise(F.col("s"))
+    return grouped.withColumn("s", s).where(F.size("s") == reads).select("location", F.transform("s", lambda x: F.struct(x["bases"].alias("bases"), x["qualities"].alias("qualities"))).alias("sequences"))
+
+
+def read_multi_qseq(spark: SparkSession, paths: list[str], encoding: str = "illumina") -> DataFrame:
+    """location and sequences of clusters that are in every one of ``paths``, a file (or folder) for each read, in their order."""
+    at = F.concat_ws(":", "instrument", "run_number", "lane", "tile", "xpos", "ypos").alias("location")
+    joined = None
+    for k, path in enumerate(paths):
+        one = read_qseq(spark, path, encoding).select(at, F.struct("bases", F.col("quals").alias("qualities")).alias(f"s{k}"))
+        joined = one if joined is None else joined.join(one, "location")
+    return joined.select("location", F.array(*(f"s{k}" for k in range(len(paths)))).alias("sequences"))
+
+
 def read_prq(spark: SparkSession, path: str | list[str], mode: str = "fail") -> DataFrame:
     """id, bases1, quals1, bases2, quals2; an absent mate is two empty columns, read as null."""
     df = _checked(_lines(spark, path), F.size(F.split("value", "\t", -1)) == 5, "prq", mode)
@@ -121,7 +186,12 @@ def read_vcf(spark: SparkSession, path: str, snps_only: bool = False) -> DataFra
     head = spark.read.text(path).limit(1).collect()
     if not head or not head[0][0].startswith("##fileformat=VCFv4"):
         raise ValueError("not a VCF 4 file")
-    df = _lines(spark, path).where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("c"))
+    lines = _lines(spark, path)
+    if lines.where(F.col("value").startswith("#CHROM\tPOS\tID\tREF\tALT")).isEmpty():
+        raise ValueError("VCF file without a heading")
+    df = lines.where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("c"))
+    if df.isEmpty():
+        raise ValueError("VCF file without variants")
     if snps_only:
         df = df.where(F.col("c")[7].rlike(r"(^|;)VC=SNP(;|$)"))
     return df.select(F.col("c")[0].alias("contig"), F.col("c")[1].cast("int").alias("pos"), F.length(F.col("c")[3]).alias("len"))
@@ -189,6 +259,12 @@ def read_sample_sheet(spark: SparkSession, path: str) -> DataFrame:
     return parse_sample_sheet(spark, spark.read.text(path, wholetext=True).first()[0])
 
 
+def contigs_with_md5(contigs: DataFrame, fasta: DataFrame) -> DataFrame:
+    """``contigs`` with the md5 of their sequences; a contig without a sequence raises."""
+    joined = contigs.join(contig_md5(fasta), "name", "left")
+    return joined.withColumn("md5", F.coalesce("md5", F.raise_error(F.concat(F.lit("no checksum for contig "), F.col("name")))))
+
+
 def text_of(columns: list[Column | str], separator: str = "\t") -> Column:
     return F.array_join(F.array(*(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in columns)), separator)
 
@@ -208,6 +284,11 @@ def prq_line() -> Column:
     return text_of(["id", "bases1", "quals1", "bases2", "quals2"])
 
 
+def fastq_of_pair(read: int) -> Column:
+    """The record of one read of a pair (id, bases1, quals1, bases2, quals2), /1 or /2 at its name's end."""
+    return F.concat(F.lit("@"), "id", F.lit(f"/{read}\n"), f"bases{read}", F.lit("\n+\n"), f"quals{read}")
+
+
 def sam_line() -> Column:
     """Eleven columns and the tags by name; nulls are ``*`` or 0; a /1 or /2 at the name's end goes."""
     star = lambda n: F.coalesce(F.col(n), F.lit("*"))
@@ -229,11 +310,84 @@ def read(spark: SparkSession, name: str, path: str | list[str], **options) -> Da
 
 def write(df: DataFrame, name: str, path: str, compression: str | None = None, partition_by: list[str] | None = None) -> None:
     """Text by the named format, or Parquet for bdg and avo. An existing path is an error."""
-    if name in ("bdg", "avo"):
-        df.write.partitionBy(*(partition_by or [])).parquet(path)
-        return
-    if name not in WRITERS:
+    if name not in ("bdg", "avo", *WRITERS):
         raise KeyError(f"unknown output format {name!r}")
     codec = {"auto": "gzip"}.get(compression, compression)
-    lines = df.select(*(partition_by or []), WRITERS[name]().alias("value"))
-    (lines.write.option("compression", codec) if codec else lines.write).partitionBy(*(partition_by or [])).text(path)
+    rows = df if name in ("bdg", "avo") else df.select(*(partition_by or []), WRITERS[name]().alias("value"))
+    writer = rows.write.option("compression", codec) if codec else rows.write
+    writer.partitionBy(*(partition_by or [])).format("parquet" if name in ("bdg", "avo") else "text").save(path)
+
+
+#: Fixed value: Spark's name of a folder of nulls.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def write_by_folder(df: DataFrame, name: str, path: str, folders: list[str], compression: str | None = None) -> None:
+    """As ``write``, into a folder of ``path`` for each tuple of the columns ``folders``: ``value/value/part-*``.
+
+    A null has no folder of its own. Rows are written under folders that Spark names, which are then renamed, one call a
+    folder; values must be fit for file names.
+    """
+    spark = df.sparkSession
+    fs, target = _file_system(spark, path)
+    if fs.exists(target):
+        raise FileExistsError(path)
+    staged = f"{path}/_written"
+    write(df, name, staged, compression, folders)
+    join = spark._jvm.org.apache.hadoop.fs.Path
+
+    def place(folder, to, left: int) -> None:
+        for status in fs.listStatus(folder):
+            if status.isDirectory():
+                value = status.getPath().getName().split("=", 1)[1]
+                own = to if value == NO_VALUE else join(to, value)
+                if left > 1:
+                    place(status.getPath(), own, left - 1)
+                elif value == NO_VALUE:
+                    fs.mkdirs(own)
+                    for file in fs.listStatus(status.getPath()):
+                        fs.rename(file.getPath(), join(own, file.getPath().getName()))
+                else:
+                    fs.mkdirs(own.getParent())
+                    fs.rename(status.getPath(), own)
+
+    place(join(staged), target, len(folders))
+    fs.delete(join(staged), True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file of this name."""
+    fs, target = _file_system(spark, path)
+    out = fs.create(target, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def concatenate(spark: SparkSession, parts: str, path: str) -> None:
+    """One file of the part files of folder ``parts``, by name; names that begin with _ or . are skipped. Bytes go through the driver."""
+    fs, folder = _file_system(spark, parts)
+    out_fs, target = _file_system(spark, path)
+    out = out_fs.create(target, False)
+    try:
+        names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.isFile())
+        for name in (n for n in names if n[0] not in "_."):
+            source = fs.open(spark._jvm.org.apache.hadoop.fs.Path(folder, name))
+            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            source.close()
+    finally:
+        out.close()
+
+
+def write_pair_fastq(pairs: DataFrame, first: str, second: str, compression: str | None = None) -> None:
+    """Two folders of fastq, read 1 and read 2 of each pair; a pair without a mate raises."""
+    whole = F.when(F.col("bases2").isNotNull(), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("no second read: "), F.col("id"))))
+    for read, path in ((1, first), (2, second)):
+        lines = pairs.withColumn("id", whole).select(fastq_of_pair(read).alias("value")).write
+        (lines.option("compression", compression) if compression else lines).text(path)

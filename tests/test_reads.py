@@ -147,3 +147,77 @@ def test_aligner(spark):
     pairs = spark.createDataFrame([("p", "ACGTA", "IIIII", "TTTTT", "IIIII")], "id string, bases1 string, quals1 string, bases2 string, quals2 string")
     sam = S.parse_sam(A.align(pairs, lambda: A.ExactAligner({"c1": "GGACGTAGG"}))).orderBy("flag").collect()
     assert [(r.rname, r.pos, r.flag) for r in sam] == [("c1", 3, 65), ("*", 0, 133)]
+
+
+GOOD = "@M:1:F:1:1:{k}:1 1:N:0:\nACGT\n+\nIIII\n"
+
+
+@pytest.mark.parametrize("bad", ["@M:1:F:1:1:9:1 1:N:0:\nAC-T\n+\nIIII\n", "@M:1:F:1:1:9:1 1:N:0:\nACGT\nIIII\n", "garbage\n", "@M:1:F:1:1:9:1 1:N:0:\nACGT\n+\nIII\n", "@M:1:F:1:1:9:1 1:N:0:\nACGT\n+\n@III@\n", "@M:1:F:1:1:9:1 1:N:0:\nACGT\n+\n"])
+def test_bad_fastq(spark, tmp_path, bad):
+    (tmp_path / "fq").write_text(GOOD.format(k=1) + GOOD.format(k=2) + bad + GOOD.format(k=3))
+    with pytest.raises(Exception, match="bad fastq record"):
+        S.read(spark, "fastq", str(tmp_path / "fq")).collect()
+    kept = {r.xpos for r in S.read(spark, "fastq", str(tmp_path / "fq"), mode="quarantine").collect()}
+    assert {1, 3} <= kept <= {1, 2, 3}
+
+
+def test_fastq_in_many_blocks(spark, tmp_path):
+    records = [(k, "ACGT"[k % 4] * 8, ("@" * (1 + k % 3) + "IIIIIIII")[:8] if k % 2 else "IIIIIIII") for k in range(400)]
+    (tmp_path / "fq").write_text("".join(f"@M:1:F:1:1:{k}:1 1:N:0:\r\n{b}\r\n+\r\n{q}\r\n" for k, b, q in records))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = S.read(spark, "fastq", str(tmp_path / "fq"))
+        assert got.rdd.getNumPartitions() > 4 and sorted((r.xpos, r.bases, r.quals) for r in got.collect()) == records
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_ambiguous_sheet(spark):
+    from fragmill.operators import demux
+
+    sheet = S.parse_sample_sheet(spark, "Lane,SampleID,Index,FCID,SampleProject\n1,a,ACGTACGT,F,P\n1,b,ACGTACGA,F,P\n2,c,ACGTACGT,F,P\n")
+    tags = spark.createDataFrame([(1, "ACGTACGT")], "lane int, tag string")
+    with pytest.raises(ValueError, match="overlap"):
+        demux.lookup(tags, sheet, 1)
+    assert [r.sampleid for r in demux.lookup(tags, sheet, 0).collect()] == ["a"]
+
+
+def test_required_fields(spark):
+    from fragmill.operators import demux
+
+    rows = spark.createDataFrame([("M", 1, 1, 2, 3, None, 1)], "instrument string, run_number int, lane int, tile int, xpos int, ypos int, read int")
+    with pytest.raises(Exception, match="read without ypos"):
+        demux.required(rows).collect()
+    with pytest.raises(Exception, match="isn't positive"):
+        demux.required(rows.withColumns({"ypos": F.lit(1), "read": F.lit(0)})).collect()
+
+
+def test_vcf_without_heading_or_rows(spark, tmp_path):
+    head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n"
+    for name, text, what in (("a", "##fileformat=VCFv4.1\nc\t1\t.\tA\tC\n", "heading"), ("b", "##fileformat=VCFv4.1\n" + head, "without variants"), ("c", head, "not a VCF")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(ValueError, match=what):
+            S.read(spark, "vcf", str(tmp_path / name))
+
+
+def test_missing_checksum_and_null_spans(spark):
+    from fragmill.operators import alignments
+
+    contigs = spark.createDataFrame([(1, "a", 0, 4), (2, "b", 4, 4)], "id int, name string, start long, length long")
+    fasta = spark.createDataFrame([("a", "ACGT")], "name string, sequence string")
+    with pytest.raises(Exception, match="no checksum"):
+        S.contigs_with_md5(contigs, fasta).collect()
+    spans = spark.createDataFrame([(1, 5, "x"), (1, 5, None), (None, 5, "y")], "start long, length long, tag string")
+    holes = spark.createDataFrame([(3, 1)], "start long, length long")
+    assert {(r.start, r.tag, r.on_hole) for r in alignments.on_holes(spans, holes).collect()} == {(1, "x", True), (1, None, True), (None, "y", False)}
+
+
+def test_monitor_and_chain(spark):
+    from fragmill.operators import hits
+
+    monitor = hits.Monitor()
+    rows = monitor.count(spark.range(10), "all", most=F.max("id"))
+    step = hits.chain(lambda d: d.where("id > 3"), lambda d: monitor.count(d, "large"))
+    assert step(rows).collect()[0][0] == 4
+    assert monitor.read("all") == {"rows": 10, "most": 9} and monitor.read("large") == {"rows": 6}
