@@ -290,17 +290,8 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.alignments(spark, sf_dir).select("qname", "flag", F.when(F.col("rname") == "c4", "*").otherwise(F.col("rname")).alias("rname"), "pos")
 
 
-@query(f"SELECT *, dense_rank() OVER (ORDER BY coord) AS place FROM ({PLACED}) AS p QUALIFY row_number() OVER (ORDER BY coord, qname, flag) <= 100")
-def coordinate_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred of the sort, ranked: the limit is the report's."""
-    from pyspark.sql.window import Window
-
-    first = A.coordinate_sort(_placed(spark, sf_dir), _contigs(spark)).select("qname", "flag", "coord").limit(100)
-    return first.withColumn("place", F.dense_rank().over(Window.orderBy("coord")).cast("long"))
-
-
 @query(PLACED)
-def coordinate_sort_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def coordinate_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of the sort, with the column that orders them."""
     return A.coordinate_sort(_placed(spark, sf_dir), _contigs(spark)).select("qname", "flag", "coord")
 
@@ -439,3 +430,6 @@ def sam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = rows.select(S.sam_line().alias("value"))
     parsed = S.parse_sam(lines)
     return parsed.select("qname", S.sam_line().alias("line"), S.tag("MD").alias("md"), S.tag("RG").alias("rg"), F.length("seq").alias("n"))
+
+
+from fragmill.plans import files  # noqa: E402, F401  (registers the queries on files)

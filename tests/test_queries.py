@@ -31,6 +31,6 @@ def test_query_equals_sql(spark, name):
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 def test_whole_coordinate_sort(spark):
-    rows = catalogue.QUERIES["coordinate_sort_whole"](spark, str(DATA)).collect()
+    rows = catalogue.QUERIES["coordinate_sort"](spark, str(DATA)).collect()
     order = [r.coord for r in rows]
     assert len(rows) > 100 and order == sorted(order)
