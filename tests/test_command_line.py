@@ -25,14 +25,14 @@ def reads(tmp_path):
 
 def test_demux(spark, reads):
     main(["demux", "--sheet", str(reads / "sheet"), "--mismatches", "1", str(reads / "in"), str(reads / "out")], spark)
-    got = {(r.destination, r.value.split("\t")[8]) for r in spark.read.text(str(reads / "out")).collect()}
+    got = {(str(f.parent.relative_to(reads / "out")), x.split("\t")[8]) for f in (reads / "out").rglob("part-*") for x in f.read_text().splitlines()}
     assert got == {("P/s1", "ACGT"), ("P/s1", "TTTT"), ("DefaultProject/s2", "GGGG"), ("DefaultProject/s2", "CCCC")}
 
 
 def test_config(spark, reads):
     (reads / "c.ini").write_text("[DEFAULT]\ncompression = gzip\n[demux]\nmismatches: 1\nseparate-reads = true\n; a remark\n")
     main(["demux", "--config", str(reads / "c.ini"), "--sheet", str(reads / "sheet"), "--mismatches", "0", str(reads / "in"), str(reads / "out")], spark)
-    assert {r.destination for r in spark.read.text(str(reads / "out")).collect()} == {"unknown/1", "unknown/2", "DefaultProject/s2/1", "DefaultProject/s2/2"}
+    assert {str(f.parent.relative_to(reads / "out")) for f in (reads / "out").rglob("part-*")} == {"unknown/1", "unknown/2", "DefaultProject/s2/1", "DefaultProject/s2/2"}
     assert list((reads / "out").rglob("*.gz"))
 
 
@@ -48,8 +48,9 @@ def test_sort_and_merge(spark, tmp_path):
     main(["read_sort", "--annotation", str(tmp_path / "ann"), str(tmp_path / "in"), str(tmp_path / "sorted")], spark)
     assert {x.split("\t")[0] for x in text(spark, tmp_path / "sorted")} == {"r1", "r2", "r3"}
     main(["merge_alignments", "--annotation", str(tmp_path / "ann"), "--read-group", "ID=g,SM=s", str(tmp_path / "in"), str(tmp_path / "merged")], spark)
-    parts = sorted((tmp_path / "merged").glob("part-*"))
-    lines = "".join(p.read_text() for p in parts).splitlines()
+    lines = (tmp_path / "merged").read_text().splitlines()
+    main(["merge_alignments", "--annotation", str(tmp_path / "ann"), "--header-only", str(tmp_path / "in"), str(tmp_path / "head")], spark)
+    assert [x.split("\t")[0] for x in (tmp_path / "head").read_text().splitlines()] == ["@HD", "@SQ", "@SQ", "@PG"]
     assert [x.split("\t")[0] for x in lines] == ["@HD", "@SQ", "@SQ", "@RG", "@PG", "r2", "r1", "r3"]
 
 
@@ -76,3 +77,57 @@ def test_usort_and_convert(spark, reads):
         main(["convert", str(reads / "in"), str(reads / "x")], spark)
     with pytest.raises(SystemExit):
         main(["recab_table", "--vcf", "a", "--rod", "b", "in", "out"], spark)
+
+
+def test_demux_outputs(spark, reads):
+    main(["demux", "--sheet", str(reads / "sheet"), "--mismatches", "1", "--create-lane-content", "--output-format", "bdg", "-D", "spark.sql.shuffle.partitions=2", str(reads / "in"), str(reads / "out")], spark)
+    rows = spark.read.option("recursiveFileLookup", True).parquet(str(reads / "out" / "P"), str(reads / "out" / "DefaultProject")).collect()
+    assert {(r.readName, tuple(s.bases for s in r.sequences)) for r in rows} == {("M1:7:1:1101:10:20", ("ACGT", "TTTT")), ("M1:7:1:1101:10:30", ("GGGG", "CCCC"))}
+    assert (reads / "out" / "LaneContent.s1").read_text().splitlines() == ["0:s1", *(f"{k}:" for k in range(1, 8))]
+
+
+def test_from_pairs_to_sam(spark, tmp_path):
+    contig = "ACGTTGCAAGCTTAGGCTAACGATTCGGATCCAAGTTCGACTGATCGGCTAAGTC"
+    other = contig[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    (tmp_path / "ref").write_text(f">c1 x\n{contig[:20]}\n{contig[20:]}\n")
+    quals = "I" * 16
+    (tmp_path / "prq").write_text("\n".join(f"{n}\t{contig[:16]}\t{quals}\t{other[:16]}\t{q}" for n, q in (("a", quals), ("b", "H" * 16))) + "\n")
+    main(["seqal", "--reference", str(tmp_path / "ref"), str(tmp_path / "prq"), str(tmp_path / "sam")], spark)
+    got = {tuple(x.split("\t")[:9]) for x in text(spark, tmp_path / "sam")}
+    at = str(len(contig) - 15)
+    whole = str(len(contig) - 1 + 1)
+    assert got == {("a", "99", "c1", "1", "60", "16M", "=", at, whole), ("a", "147", "c1", at, "60", "16M", "=", "1", f"-{whole}"), ("b", "1123", "c1", "1", "60", "16M", "=", at, whole), ("b", "1171", "c1", at, "60", "16M", "=", "1", f"-{whole}")}
+    for name, back in (("bdg", "bdg2sam"), ("avo", "avo2sam")):
+        main(["seqal", "--align-only", "--output-format", name, "--reference", str(tmp_path / "ref"), str(tmp_path / "prq"), str(tmp_path / name)], spark)
+        main([back, str(tmp_path / name), str(tmp_path / back)], spark)
+        assert {tuple(x.split("\t")[:9]) for x in text(spark, tmp_path / back)} == {(n, str(int(f) & ~1024), *rest) for n, f, *rest in got}
+    main(["prq2fastq", str(tmp_path / "prq"), str(tmp_path / "fq")], spark)
+    assert len(text(spark, tmp_path / "fq" / "2")) == 8
+    main(["prq2bdg", str(tmp_path / "prq"), str(tmp_path / "fragments")], spark)
+    assert {r.readName for r in spark.read.parquet(str(tmp_path / "fragments")).collect()} == {"a", "b"}
+
+
+def test_run_directory(spark, tmp_path):
+    from fragmill.plans.files import RUN_INFO, RUN_PARAMETERS
+
+    (tmp_path / "RunInfo.xml").write_text(RUN_INFO)
+    (tmp_path / "runParameters.xml").write_text(RUN_PARAMETERS.replace("<NumSwaths>3", "<NumSwaths>1").replace("Tile>16", "Tile>2").replace("Swath>16", "Swath>2"))
+    with pytest.raises(SystemExit):
+        main(["bcl2qseq", "--command", "echo", str(tmp_path), str(tmp_path / "out")], spark)
+    (tmp_path / "Basecalling_Netcopy_complete_Read2.txt").write_text("")
+    main(["bcl2qseq", "--command", "echo", str(tmp_path), str(tmp_path / "out")], spark)
+    assert len(text(spark, tmp_path / "out")) == 8 * 2 * 2
+    with pytest.raises(Exception, match="failed"):
+        main(["bcl2qseq", "--command", "false", str(tmp_path), str(tmp_path / "no")], spark)
+
+
+def test_workflow(spark, tmp_path):
+    from fragmill.operators import hits
+
+    contig = "ACGTTGCAAGCTTAGGCTAACGATTCGGATCCAAGTTCGACTGATCGGCTAAGTC"
+    other = contig[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    (tmp_path / "in").write_text("\n".join([line(20, 1, contig[:32]), line(20, 2, other[:32])]) + "\n")
+    (tmp_path / "ann").write_text(f"{len(contig)} 1 11\n0 c1 (null)\n0 {len(contig)} 0\n")
+    hits.workflow(spark, str(tmp_path / "in"), str(tmp_path / "ann"), lambda: hits.ExactAligner({"c1": contig}), str(tmp_path / "out.sam"))
+    lines = (tmp_path / "out.sam").read_text().splitlines()
+    assert [x.split("\t")[0] for x in lines[:3]] == ["@HD", "@SQ", "@PG"] and [x.split("\t")[3] for x in lines[3:]] == ["1", str(len(contig) - 31)]
