@@ -135,18 +135,25 @@ class _Sparse:
             norms = np.sqrt(np.maximum(_self_kernel(found, weights), 1e-12))
             self.parts.append((owner[rows], found, weights / norms[:, None]))
 
-    def dense(self) -> np.ndarray:
-        out = np.zeros((self.n, LETTERS**3), np.float32)
+    def triples(self) -> np.ndarray:
+        """The codes of all letter triples of the rows, in order."""
+        return np.unique(np.concatenate([np.unique(found) for _, found, _ in self.parts])) if self.parts else np.zeros(1, np.int64)
+
+    def dense(self, known: np.ndarray) -> np.ndarray:
+        """The rows over the triples ``known``, which hold all of theirs; code 0 is none."""
+        out = np.zeros((self.n, len(known)), np.float32)
         for owner, found, values in self.parts:
-            np.add.at(out, (owner[:, None], found), np.where(found > 0, values, 0))
+            np.add.at(out, (owner[:, None], np.searchsorted(known, found)), np.where(found > 0, values, 0))
         return out
 
-    def times(self, vectors: np.ndarray) -> np.ndarray:
-        """Products with the rows of ``vectors`` (words x rows)."""
+    def times(self, known: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        """Products with the rows of ``vectors``, which are over the triples ``known`` (words x rows)."""
         out = np.zeros((self.n, len(vectors)))
         for owner, found, values in self.parts:
+            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+            held = np.where((known[at] == found) & (found > 0), values, 0)
             for k, v in enumerate(vectors):
-                np.add.at(out[:, k], owner, (v[found] * values).sum(1))
+                np.add.at(out[:, k], owner, (v[at] * held).sum(1))
         return out
 
 
@@ -219,8 +226,9 @@ def _apart(words: list[str], taken: list[str], most: int) -> list[str]:
     words = words[: 2 * most]
     if not words:
         return []
-    every = [*taken, *words]
-    near = _Sparse(every).times(_Sparse(every).dense()) >= TOO_NEAR
+    every = _Sparse([*taken, *words])
+    known = every.triples()
+    near = every.times(known, every.dense(known)) >= TOO_NEAR
     chosen, held = [], list(range(len(taken)))
     for k, word in enumerate(words, len(taken)):
         if len(chosen) < most and not near[k, held].any():
@@ -292,15 +300,19 @@ def train(rows: list[tuple[int, int, set[str]]]) -> Machine | None:
 
 def _fitted(landmarks: list[str], good: Counter[str], bad: list[str], hard: set[str] = frozenset()) -> Machine:
     """The machine of positive words (by how often they tell) and negative words, over the landmarks' kernel."""
-    marks = _Sparse(landmarks).dense()
-    k_mm, k_nm = (marks @ marks.T).astype(float), _Sparse([*good, *bad]).times(marks)
+    own = _Sparse(landmarks)
+    known = own.triples()
+    marks = own.dense(known)
+    k_mm, k_nm = (marks @ marks.T).astype(float), _Sparse([*good, *bad]).times(known, marks)
     values, vectors = np.linalg.eigh(k_mm + 1e-6 * np.eye(len(marks)))
     whiten = vectors / np.sqrt(np.maximum(values, 1e-6))
     label = np.r_[np.ones(len(good)), -np.ones(len(bad))]
     weight = np.r_[np.sqrt(np.array(list(good.values()), float)), [HARD_WEIGHT if w in hard else 1.0 for w in bad]]
     weight = np.where(label > 0, weight / weight[label > 0].sum() * weight[label < 0].sum(), weight)
     w = _squared_hinge(k_nm @ whiten, label, weight / weight.sum() * 100)
-    return Machine((whiten @ w[:-1]) @ marks, float(w[-1]))
+    weights = np.zeros(LETTERS**3)
+    weights[known] = (whiten @ w[:-1]) @ marks
+    return Machine(weights, float(w[-1]))
 
 
 def hash_of(word: str) -> int:
