@@ -152,6 +152,66 @@ def test_secrets_beside_copies(spark):
     assert found([keys[hot]]) == {0: True} and found(["aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1"]) == {0: False}
 
 
+def plain_random_spans(texts):
+    """(document, start, end) of random strings: the battery and the thresholds, said plainly."""
+    fixed = [r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "(AKIA[A-Z0-9]+)", "([0-9a-f]+)"]
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = [(16, "[0-9a-f]+|[0-9A-F]+", digits + "abcdef"), (32, "[A-Z2-7]+", upper + "234567"), (36, "[0-9a-z]+|[0-9A-Z]+", digits + lower), (62, "[0-9A-Za-z]+", digits + upper + lower), (64, ".*", upper + lower + digits + "+/")]
+
+    def judged(value):
+        size, _, alphabet = next(k for k in kinds if re.fullmatch(k[1], value))
+        s = value.lower() if size in (16, 36) else value.replace("-", "+").replace("_", "/")
+        n, v = len(s), [alphabet.index(c) for c in s]
+        chi = sum((s.count(c) - n / size) ** 2 / (n / size) for c in alphabet)
+        z = [(chi - (size - 1)) / (2 * (size - 1) * (n - 1) / n) ** 0.5]
+        up = [2 * x >= size - 1 for x in v]
+        runs, a = 1 + sum(x != y for x, y in zip(up, up[1:], strict=False)), sum(up)
+        mu = 2 * a * (n - a) / n + 1
+        z.append(n**0.5 if mu <= 2 else (runs - mu) / ((mu - 1) * (mu - 2) / (n - 1)) ** 0.5)
+        mean = sum(v) / n
+        power = sum((x - mean) ** 2 for x in v)
+        z += [n if not power else sum((x - mean) * (y - mean) for x, y in zip(v, v[lag:], strict=False)) / power * n**0.5 for lag in (1, 2)]
+        half = sum(x * x for x in z) / 2
+        return size, min(7, max(4, n.bit_length() - 1)), min(int(np.exp(-half) * (1 + half) * 50), 49)
+
+    found = [(k, m.start(), m.end(), m[0]) for k, t in enumerate(texts) for m in re.finditer("[A-Za-z0-9+/_-]{20,}", t or "") if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    by = {}
+    for value in {v for *_, v in found}:
+        size, band, place = judged(value)
+        for key in ((size, band), (size, None)):
+            by.setdefault(key, []).append(place)
+
+    def least(places):
+        chance = 2 * sum(p >= 25 for p in places)
+        for b in range(1, 50):
+            above = sum(p >= b for p in places)
+            if b in places and max(0, above - chance * (1 - b / 50)) <= 0.1 * above:
+                return b
+        return 50
+
+    def limit(size, band):
+        return next((least(by[key]) for key in ((size, band), (size, None)) if len(by[key]) >= 50), 5)
+
+    taken = [[m.span() for pattern, size in zip(fixed, (6, 20, 24), strict=True) for m in re.finditer(pattern, t or "") if len(m[1]) >= size] for t in texts]
+    out = set()
+    for k, start, end, value in found:
+        size, band, place = judged(value)
+        if place >= limit(size, band) and not any(a < end and start < b for a, b in taken[k]):
+            out.add((k, start, end))
+    return out
+
+
+def test_random_spans(spark):
+    rng = np.random.default_rng(11)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    texts = [f"a {''.join(rng.choice(letters, int(rng.integers(20, 90))))} b" for _ in range(300)]
+    texts += [f"é {''.join(rng.choice(list('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'), 40))}, {''.join(rng.choice(list('ab1'), 30))}" for _ in range(40)]
+    texts += [f"version1{'abcd' * int(rng.integers(4, 9))}/{k} token=abcdefgh{k} 0123456789abcdefghij{k}" for k in range(80)] + [None, "", texts[0]]
+    got = {(r.doc_id, int(a), int(b)) for r in secret_scan.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() for kind, a, b in (x.split(":") for x in r.spans.split(",") if x) if kind == "random"}
+    want = plain_random_spans(texts)
+    assert got == want and len(want) > 200
+
+
 def test_substrings(spark, docs):
     rows = sorted({(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None and r.text is not None})
     seen, want = {}, {}
@@ -176,37 +236,79 @@ def test_substrings(spark, docs):
     assert got.count() == docs.count() and substring_dedup.dedup_substrings(empty(spark)).count() == 0
 
 
-def test_packing(spark, docs):
+def tokens_of(texts):
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(path)
+    return path, [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
+def test_packing(spark, docs):
+    rows = docs.collect()
+    path, counts = tokens_of([r.text for r in rows])
     bins = packing.pack(docs, path).collect()
-    held = {}
+    held, want = {}, {}
     for b in bins:
         assert sum(b.lengths) == b.used <= b.capacity in packing.CAPACITIES and all(c < b.used for c in packing.CAPACITIES if c < b.capacity)
         for doc, start, length in zip(b.doc_ids, b.starts, b.lengths, strict=True):
             held.setdefault(doc, []).append((start, length))
-    want = {}
-    for r in docs.collect():
-        if (r.text or "").split():
-            want[r.doc_id] = want.get(r.doc_id, 0) + len(r.text.split())
-    assert {k: sum(n for _, n in v) for k, v in held.items()} == want
-    lengths = np.random.default_rng(1).integers(1, 3000, 300).tolist()
-    bins = packing.best_fit(lengths)
-    assert sorted(k for _, x in bins for k in x) == list(range(300)) and sum(lengths) / sum(c for c, _ in bins) > 0.95
+    for r, n in zip(rows, counts, strict=True):
+        want.setdefault(r.doc_id, []).extend((at, min(4096, n - at)) for at in range(0, n, 4096))
+    assert {k: sorted(v) for k, v in held.items()} == {k: sorted(v) for k, v in want.items() if v}
     assert packing.pack(empty(spark), path).count() == 0
 
 
+def plain_best_fit(lengths, capacities):
+    """The rule, said plainly: every bin is looked at for every piece."""
+    order = sorted(range(len(lengths)), key=lambda k: (-lengths[k], k))
+    cost = lambda c: packing.FIXED + c + c * c / packing.ATTENTION
+    bins = []
+    for turn, k in enumerate(order):
+        fitting = [b for b in bins if b["room"] >= lengths[k]]
+        if fitting:
+            b = min(fitting, key=lambda b: (b["room"], -b["turn"]))
+        else:
+            prices = []
+            for c in (c for c in capacities if c >= lengths[k]):
+                room = c - lengths[k]
+                for other in order[turn + 1 :]:
+                    if lengths[other] <= room:
+                        room -= lengths[other]
+                prices.append((min(cost(x) for x in capacities if x >= c - room) / (c - room), c))
+            b = {"room": min(prices)[1], "held": []}
+            bins.append(b)
+        b["held"].append(k)
+        b["room"] -= lengths[k]
+        b["turn"] = turn
+    return [(min(c for c in capacities if c >= sum(lengths[k] for k in b["held"])), b["held"]) for b in bins]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit(seed):
+    rng = np.random.default_rng(seed)
+    lengths = (rng.integers(1, 4097, 250) if seed % 2 else rng.choice([1, 7, 300, 500, 520, 900, 1030, 2000, 4096], 250)).tolist()
+    got = packing.best_fit(lengths)
+    assert got == plain_best_fit(lengths, packing.CAPACITIES)
+    assert len({c for c, _ in got}) > 1 and sum(lengths) / sum(c for c, _ in got) > 0.9
+
+
 def test_bpe(spark, docs):
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     library = tokenizers.Tokenizer.from_file(path)
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     texts[900] = "a<|endoftext|>b 's ½ ٣ 漢字🙂\x85\x1c 　é\n\n  x" * 3
-    df = spark.createDataFrame([(k, t) for k, t in texts.items() if k is not None], "doc_id long, text string")
+    rng = np.random.default_rng(9)
+    texts[901] = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA5, 20_000))
+    texts[902] = "ab" * 200_000
+    texts[903] = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 100_000))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     encoded = bpe.encode(df, path)
     got = {r.doc_id: r.ids for r in encoded.collect()}
-    assert got == {k: library.encode(t, add_special_tokens=False).ids for k, t in texts.items() if k is not None}
-    assert {r.doc_id: r.text for r in bpe.decode(encoded, path).collect()} == {k: t for k, t in texts.items() if k is not None}
-    assert {r.n_tokens for r in bpe.digest(df.where("doc_id = 22"), path).collect()} == {0}
+    assert got == {k: library.encode(t, add_special_tokens=False).ids for k, t in texts.items()}
+    assert {r.doc_id: r.text for r in bpe.decode(encoded, path).collect()} == texts
+    assert {r.doc_id: r.n for r in bpe.lengths(df, path).collect()} == {k: len(v) for k, v in got.items()}
+    digests = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digest(df, path).collect()}
+    assert digests == {k: (len(v), hashlib.sha256(",".join(map(str, v)).encode()).hexdigest(), hashlib.sha256(texts[k].encode()).hexdigest()) for k, v in got.items()}
 
 
 def test_languages(spark):
@@ -225,6 +327,38 @@ def test_languages(spark):
     assert {r.doc_id: r.lang_pred for r in got}[900] == "und" and {r.doc_id: r.lang_pred for r in got}[901] == "und"
 
 
+def test_mixture():
+    """EM and the growing set of languages, a document and a language at a time."""
+    rng = np.random.default_rng(8)
+    table = rng.dirichlet(np.full(40, 0.2), 5)
+    counts = np.array([rng.multinomial(int(n), shares @ table) for n, shares in zip(rng.integers(20, 900, 30), rng.dirichlet(np.full(5, 0.2), 30), strict=True)], float)
+
+    def em(row, shares, rounds):
+        for _ in range(rounds):
+            new = [0.0] * 5
+            for bucket, n in enumerate(row):
+                whole = sum(s * t[bucket] for s, t in zip(shares, table, strict=True))
+                for k in range(5):
+                    new[k] += n * shares[k] * table[k][bucket] / max(whole, 1e-30)
+            shares = [x / sum(row) for x in new]
+        return shares
+
+    got = language_id.infer(counts.astype(np.float32), table.astype(np.float32))
+    for row, own in zip(counts, got, strict=True):
+        full = em(row, [0.2] * 5, language_id.ROUNDS)
+        order = sorted(range(5), key=lambda k: (-full[k], k))
+        best, chosen = -np.inf, None
+        for size in range(1, 6):
+            kept = [max(full[k], 1e-6) if k in order[:size] else 0.0 for k in range(5)]
+            kept = em(row, [x / sum(kept) for x in kept], language_id.LAST_ROUNDS if size > 1 else 0)
+            likelihood = sum(n * np.log(max(sum(s * t[b] for s, t in zip(kept, table, strict=True)), 1e-30)) for b, n in enumerate(row)) - language_id.PENALTY * np.log(sum(row) + 1) * (size - 1)
+            if likelihood <= best:
+                break
+            best, chosen = likelihood, kept
+        assert np.allclose(own, chosen, atol=2e-3)
+    assert (got > 0).sum(1).max() > 1
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(3)
     rows, labels = [], []
@@ -240,6 +374,66 @@ def test_toxicity(spark):
     assert got[901].score == got[902].score == 0.0
 
 
+def test_kernel():
+    """Kernel values against every common subsequence, spelled out."""
+    words = ["idiot", "idioot", "i-diot", "table", "stupid", "aaaa"]
+
+    def features(word):
+        word, found = f"<{word}>", {}
+        for i in range(len(word)):
+            for k in range(i + 2, min(len(word), i + toxicity.STRETCH)):
+                for j in range(i + 1, k):
+                    three = word[i] + word[j] + word[k]
+                    if "-" not in three:
+                        found[three] = found.get(three, 0) + toxicity.DECAY ** (k - i + 1)
+        norm = sum(x * x for x in found.values()) ** 0.5
+        return {t: x / norm for t, x in found.items()}
+
+    plain = [features(w) for w in words]
+    want = [[sum(x * b.get(t, 0) for t, x in a.items()) for b in plain] for a in plain]
+    rows = toxicity._Sparse(words)
+    known = rows.triples()
+    assert np.allclose(rows.times(known, rows.dense(known)), want, atol=1e-5)
+    # the folded table decides as the sum over landmarks does
+    weights = np.zeros(toxicity.LETTERS**3)
+    weights[known] = np.array([0.5, 0, 0, -1.0, 2.0, 0]) @ rows.dense(known)
+    assert np.allclose(toxicity.Machine(weights, 0.25).decisions(words), np.array(want) @ [0.5, 0, 0, -1.0, 2.0, 0] + 0.25, atol=1e-4)
+
+
+def test_toxicity_of_many_spellings(spark):
+    """Insults that are spelled anew each time, and a word of many sentences that no toxic document has more often."""
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for k in range(500):
+        words = ["".join(rng.choice("ka lo mi tu ra se vo ni".split(), 3)) for _ in range(30)]
+        if k % 4 == 0:
+            insult, at = str(rng.choice(["blockhead", "nitwittery"])), int(rng.integers(2, 7))
+            words[int(rng.integers(30))] = insult[:at] + str(rng.choice(list("-x*qz"))) + insult[at:]
+        rows.append((k, ". ".join(" ".join(words[j : j + 6]) for j in range(0, 30, 6))))
+        labels.append((k, 1, int(k % 4 == 0)))
+    got = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held = [(r.predicted, int(r.doc_id % 4 == 0)) for r in got if r.held_out]
+    assert sum(a == b for a, b in held) / len(held) > 0.95 and sum(a and b for a, b in held) / sum(b for _, b in held) > 0.85
+
+
+def test_neighbours_of_odd_vectors(spark):
+    far = [1e200, 0.0]
+    rows = [(20 * k, [float(k), 1.0]) for k in range(6)] + [(1, far), (3, [1e308, 1e308]), (5, [1.0]), (7, [2.0]), (40, [9.0]), (9, [0.0, 1.0]), (11, [0.0, 1.0]), (13, None), (15, [0.0, 0.0]), (17, [float("inf"), 1.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame([(i, v, 7) for i, v in rows], "vec_id long, embedding array<double>, norm int")
+    got = {}
+    for r in neighbours.nearest_of_twentieths(df).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    two = {i: v for i, v in rows if i is not None and v and len(v) == 2 and 0 < max(map(abs, v)) < float("inf")}
+    for q in range(0, 120, 20):
+        want = [(-sum(a * b for a, b in zip(v, two[q], strict=True)), i) for i, v in two.items() if i != q]
+        if q == 40:
+            want += [(-9.0, 5), (-18.0, 7)]
+        assert [(i, s) for _, i, s in sorted(got[q])] == [(i, -s) for s, i in sorted(want)], q
+        assert [k for k, _, _ in sorted(got[q])] == list(range(1, len(want) + 1))
+    again = spark.createDataFrame([(0, [1.0, 5.0]), (0, [1.0, 2.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in neighbours.nearest_of_twentieths(again).collect()] == [(1, 3.0)]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     data = rng.standard_normal((800, 24)) + 2 * rng.standard_normal((20, 24))[rng.integers(20, size=800)]
@@ -293,3 +487,27 @@ def test_urls_of_a_combination(spark):
     labels = spark.createDataFrame([(k, int(k >= 30), 0) for k in range(150)], "doc_id long, quality int, toxic int")
     got = {r.page_id: r.verdict for r in url_filter.judge(pages, labels).collect()}
     assert all(got[k] == ("block" if k < 30 or k == 150 else "allow") for k in range(153))
+
+
+def test_mined_rules(spark):
+    """Verdicts against every combination of tokens, counted one by one."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(6)
+    words = "free slots jackpot news sport win cash".split()
+    urls = ["http://h.com/" + "/".join(sorted(set(rng.choice(words, 3)))) + f"/{k}" for k in range(260)]
+    tells = lambda u: ("free" in u and "cash" in u) or ("slots" in u and "win" in u) or "jackpot" in u and rng.random() < 0.7
+    bad = [bool(tells(u)) for u in urls]
+    pages = spark.createDataFrame(list(enumerate([*urls, urls[0], None])), "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(not b), 0) for k, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    own = [{"h", "com", *(x if not x.isdigit() else "0" for x in u[13:].split("/"))} for u in urls]
+    least = max(url_filter.MIN_SUPPORT * len(urls), url_filter.MIN_COUNT)
+    rules = []
+    for size in range(1, 7):
+        for some in combinations(sorted(set().union(*own)), size):
+            with_ = [b for t, b in zip(own, bad, strict=True) if t.issuperset(some)]
+            if sum(with_) >= least and sum(with_) >= url_filter.MIN_CONFIDENCE * len(with_):
+                rules.append(set(some))
+    want = ["block" if any(r <= t for r in rules) else "allow" for t in own]
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, labels).collect()}
+    assert [got[k] for k in range(len(urls))] == want and got[260] == want[0] and got[261] == "allow" and len(set(want)) == 2
