@@ -73,9 +73,9 @@ def _rows(hashes: list[np.ndarray], fps: list[int]) -> pa.RecordBatch:
 
 
 def _folded(hashes: list[np.ndarray], fps: list[int]) -> pa.RecordBatch:
-    """Rows (h, lo, hi, fp, known): an n-gram and the least and greatest of its classes here; fp is its class if it has one only.
+    """Rows (h, fp) of an n-gram that one class has here, or (h, lo, hi), its least and greatest class, of one that several have.
 
-    What classes share here is told by a row of their own: h and fp are the class, ``known`` the number of n-grams.
+    What a class shares here is told by a row of its own (fp, known): the number of its n-grams. The rest is null.
     """
     own = np.array(fps, np.int64)
     h, owner = np.concatenate(hashes), np.repeat(np.arange(len(fps)), [len(x) for x in hashes])
@@ -83,19 +83,19 @@ def _folded(hashes: list[np.ndarray], fps: list[int]) -> pa.RecordBatch:
     h, owner = h[order], owner[order]
     starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     sizes = np.diff(np.r_[starts, len(h)])
-    fp = own[owner]
+    fp, alone = own[owner], sizes == 1
     lo, hi = np.minimum.reduceat(fp, starts), np.maximum.reduceat(fp, starts)
-    alone = sizes == 1
     known = np.bincount(owner[np.repeat(~alone, sizes)], minlength=len(fps))
     told = np.flatnonzero(known)
+    none = np.ones(len(told), bool)
     columns = [
         pa.array(np.r_[h[starts].view(np.int64), own[told]]),
-        pa.array(np.r_[lo, own[told]]),
-        pa.array(np.r_[hi, own[told]]),
-        pa.array(np.r_[lo, own[told]], mask=np.r_[~alone, np.zeros(len(told), bool)]),
-        pa.array(np.r_[np.zeros(len(starts), np.int64), known[told]]),
+        pa.array(np.r_[lo, own[told]], mask=np.r_[~alone, ~none]),
+        pa.array(np.r_[lo, own[told]], mask=np.r_[alone, none]),
+        pa.array(np.r_[hi, own[told]], mask=np.r_[alone, none]),
+        pa.array(np.r_[lo, known[told]], mask=np.r_[np.ones(len(starts), bool), ~none]),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["h", "lo", "hi", "fp", "known"])
+    return pa.RecordBatch.from_arrays(columns, ["h", "fp", "lo", "hi", "known"])
 
 
 def _first_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,9 +170,10 @@ def _linked(docs: DataFrame) -> DataFrame:
 
     # a class that is met in several tasks may be counted for each, which prunes less, not more
     by_h = Window.partitionBy("h")
-    first = parsed.select("text").mapInArrow(_first_fragment, "h long, lo long, hi long, fp long, known long")
-    met = first.withColumns({"lo": F.min("lo").over(by_h), "hi": F.max("hi").over(by_h)}).where("fp is not null and (known > 0 or lo != hi)")
-    shared = met.groupBy("fp").agg(F.sum(F.greatest("known", F.lit(1))).alias("s1"))
+    first = parsed.select("text").mapInArrow(_first_fragment, "h long, fp long, lo long, hi long, known long")
+    ends = {"lo": F.min(F.coalesce("lo", "fp")).over(by_h), "hi": F.max(F.coalesce("hi", "fp")).over(by_h)}
+    met = first.withColumns(ends).where("fp is not null and (known is not null or lo != hi)")
+    shared = met.groupBy("fp").agg(F.sum(F.coalesce("known", F.lit(1))).alias("s1"))
     possible = materialise(
         classes.join(shared, "fp", "left")
         .where(F.coalesce("s1", F.lit(0)) >= F.col("n1") - _missable(F.col("n")))
