@@ -148,12 +148,15 @@ class _Sparse:
 
     def times(self, known: np.ndarray, vectors: np.ndarray) -> np.ndarray:
         """Products with the rows of ``vectors``, which are over the triples ``known`` (words x rows)."""
-        out = np.zeros((self.n, len(vectors)))
+        out, width = np.zeros((self.n, len(vectors))), len(known)
         for owner, found, values in self.parts:
-            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-            held = np.where((known[at] == found) & (found > 0), values, 0)
-            for k, v in enumerate(vectors):
-                np.add.at(out[:, k], owner, (v[at] * held).sum(1))
+            for k in range(0, len(found), 512):
+                codes = found[k : k + 512]
+                at = np.minimum(np.searchsorted(known, codes), width - 1)
+                held = np.where((known[at] == codes) & (codes > 0), values[k : k + 512], 0)
+                place = at + width * np.arange(len(codes))[:, None]
+                rows = np.bincount(place.ravel(), held.ravel(), width * len(codes)).reshape(len(codes), width)
+                np.add.at(out, owner[k : k + 512], rows.astype(np.float32) @ vectors.T)
         return out
 
 
