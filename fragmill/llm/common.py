@@ -99,7 +99,7 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[
 
 
 def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
-    """(node, root): connected components of ``edges`` (a, b), root being the least node.
+    """(node, root): connected components of ``edges`` (a, b), root being the least node; a written table.
 
     Min-label propagation with pointer jumping; every round is a written table, so a lost executor costs a round
     at most, and is deleted when the next one is there. Rounds grow with the logarithm of the diameter.
@@ -126,4 +126,6 @@ def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     forget(both)
-    return labels.select("node", "root")
+    found = labels.select("node", "root")
+    found.written_to = labels.written_to
+    return found

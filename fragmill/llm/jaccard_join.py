@@ -200,7 +200,7 @@ def _linked(docs: DataFrame) -> DataFrame:
         "jaccard-nodes",
     )
 
-    forget(grams, frequency)
+    forget(grams, frequency, possible)
 
     n, u = F.col("n"), F.col("u")
     keys = nodes.select("fp", "n", "u", F.slice(F.col("grams.h"), F.lit(1), (_missable(n) + 1 - u).cast("int")).alias("keys"))
@@ -249,8 +249,10 @@ def _linked(docs: DataFrame) -> DataFrame:
         .distinct()
     )
     more = materialise(_measured(rest, segments).where(LINKED).select("x", "y"), "jaccard-links")
+    forget(open_, prefix, segments, nodes, roots)
     every = reduce(DataFrame.union, [links, more]).select(F.col("x").alias("a"), F.col("y").alias("b"))
     roots = components(every, "jaccard-2")
+    forget(anchored, more)
 
     firsts = worded.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
     members = roots.select(F.col("node").alias("fp"), "root").join(firsts, "fp")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import all_of, fresh, materialise, named, split_by_ids
+from fragmill.llm.common import all_of, forget, fresh, materialise, named, split_by_ids
 
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -76,7 +76,8 @@ def _host() -> Column:
 def boilerplate(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, lines, depleted) of the documents that hold frequent lines of their host.
 
-    ``lines`` are (host, h) of the frequent lines; depleted tells whether most of the words are in such lines.
+    ``lines`` are (host, h) of the frequent lines; depleted tells whether most of the words are in such lines. Its
+    ``reads`` are the written tables that it reads.
     """
     text = F.coalesce("text", F.lit(""))
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _host().alias("host"), F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE)).alias("lines"))
@@ -101,11 +102,13 @@ def boilerplate(docs: DataFrame) -> DataFrame:
         salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = occurring.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", "place"), F.lit(SALTS)).cast("int")).join(salted, ["host", "h", "salt"])
     removed = met.groupBy("doc_id", "text_hash", "total", "place", "w").agg(F.collect_set(F.struct("host", "h")).alias("lines"))
-    return (
+    found = (
         removed.groupBy("doc_id", "text_hash")
         .agg(F.sum("w").alias("gone"), F.max("total").alias("total"), F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
         .select("doc_id", "text_hash", "lines", (100 * (F.col("total") - F.col("gone")) < MIN_LEFT_PERCENT * F.col("total")).alias("depleted"))
     )
+    found.reads = (hashed, frequent)
+    return found
 
 
 def depleted(docs: DataFrame) -> DataFrame:
@@ -129,7 +132,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
     n_chars, if there, follows a changed text; other columns pass through. Only rows that may hold frequent lines are shuffled.
     """
     good = docs.where(~base().getField("base_failed"))
-    found = materialise(boilerplate(docs.select("doc_id", "text", "source")), "quality-boilerplate")
+    frequent = boilerplate(docs.select("doc_id", "text", "source"))
+    found = materialise(frequent, "quality-boilerplate")
+    forget(*frequent.reads)
     maybe, sure = split_by_ids(good, found.select("doc_id"))
     gone_id, gone_hash, lines, gone, own = fresh("id", "hash", "lines", "depleted", "own")
     found = found.toDF(gone_id, gone_hash, lines, gone)
