@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 from xxhash import xxh3_128_intdigest
 
@@ -131,7 +132,7 @@ def _cutter(text_at: int, chars_at: int | None, schema: pa.Schema) -> Callable:
             columns[text_at] = pa.array(texts, pa.string())
             if chars_at is not None:
                 columns[chars_at] = pa.array([len(x) for x in texts], schema.field(chars_at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int64()), pa.array(lost, pa.int64())], names=[*batch.schema.names[:-1], "n_sentences_removed", "n_words_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int64()), pa.array(lost, pa.int64())], names=[*batch.schema.names[:-1], "sentences", "words"])
 
     return cut
 
@@ -149,8 +150,11 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     joined = joined.select(*all_of(docs), F.when(F.col("text").isNotNull(), F.col(spans)).alias(spans))
     none = {"n_sentences_removed": F.lit(0).cast("long"), "n_words_removed": F.lit(0).cast("long")}
     chars_at = columns.index("n_chars") if "n_chars" in columns else None
-    schema = sure.withColumns(none).schema
+    whole = sure.withColumns(none)
+    # by place, as Python workers are given columns by names in which a dot or a backtick means something
+    plain = [f"c{k}" for k in range(len(columns))]
+    schema = StructType([StructField(n, f.dataType) for n, f in zip([*plain, "sentences", "words"], whole.schema, strict=True)])
     cut = _cutter(columns.index("text"), chars_at, to_arrow_schema(docs.schema))
-    changed = joined.where(F.col(spans).isNotNull()).mapInArrow(cut, schema)
+    changed = joined.where(F.col(spans).isNotNull()).toDF(*plain, spans).mapInArrow(cut, schema).toDF(*whole.columns)
     untouched = joined.where(F.col(spans).isNull()).drop(spans).withColumns(none)
-    return sure.withColumns(none).union(untouched).union(changed)
+    return whole.union(untouched).union(changed)

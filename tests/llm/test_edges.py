@@ -8,7 +8,7 @@ from fragmill.llm.jaccard_join import jaccard_components, keep_one_each
 
 #: Names that the operators use, or used, for columns of their own.
 CLASHING = "spans __id __text __base __spans __runs __bucket __at __hit __hash h fp n key first row salt host lines gone known lo hi c i j again doc label tokens held_out score predicted kept at embedding_ rep root".split()
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in [*CLASHING, "a.b", "we`ird"])
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in [*CLASHING, "a.b", "we``ird"])
 LONG = "word " * 50_000
 PROSE = "It was a bright cold day in April and the clocks were striking thirteen. Winston Smith slipped quickly through the glass doors of Victory Mansions, though not quickly enough. The hallway smelt of boiled cabbage and old rag mats that day."
 
@@ -58,8 +58,8 @@ def test_every_row_has_a_result(docs, path, labels, name):
     found = PER_ROW[name](docs, path, labels).collect()
     ids = lambda some: sorted(str(r.doc_id) for r in some)
     assert ids(found) == sorted(str(r[0]) for r in rows())
-    # equal rows get equal results
-    assert len({str(r) for r in found if r.doc_id == 1}) == 1 or name == "dedup"
+    # equal rows get equal results, other columns aside
+    assert len({str(r) if name not in KEEPING else r.text for r in found if r.doc_id == 1}) == 1
 
 
 @pytest.mark.parametrize("name", sorted({**PER_ROW, **KEEPING}))
