@@ -108,6 +108,14 @@ def prq_fastq_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_fastq(spark, [first, second]).select("read", "read_id", "bases", "quals")
 
 
+@query(C._pairs_sql())
+def prq_from_plain_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of reads that are known by names with /1 and /2 alone."""
+    first, second = _folder(spark), _folder(spark)
+    S.write_pair_fastq(C.QUERIES["prq_pairs"](spark, sf_dir), first, second)
+    return P.pair(S.read_fastq(spark, [first, second]))
+
+
 @query(f"SELECT id AS \"readName\", concat(bases1, ' ', quals1, '|', bases2, ' ', quals2) AS sequences, CAST(0 AS INT) AS n_alignments FROM ({C._pairs_sql()}) AS p")
 def prq_fragment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = _again(P.prq_fragments(C.QUERIES["prq_pairs"](spark, sf_dir)), "bdg")
