@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -214,44 +213,6 @@ def on_holes(spans: DataFrame, holes: DataFrame, width: int = 1000) -> DataFrame
 # -- external programs -----------------------------------------------------------------------------------------------
 
 
-class Aligner(Protocol):
-    """Maps a batch of pairs (id, bases1, quals1, bases2, quals2) to SAM lines."""
-
-    def align(self, pairs: pd.DataFrame) -> list[str]: ...
-
-
-class ExactAligner:
-    """A small aligner for tests: the first exact occurrence in a few short contigs."""
-
-    def __init__(self, contigs: dict[str, str]) -> None:
-        self.contigs = contigs
-
-    def _place(self, bases: str) -> tuple[str, int]:
-        return next(((n, at + 1) for n, s in self.contigs.items() if (at := s.find(bases)) >= 0), ("*", 0))
-
-    def align(self, pairs: pd.DataFrame) -> list[str]:
-        lines = []
-        for p in pairs.itertuples(index=False):
-            for k, (bases, quals) in enumerate(((p.bases1, p.quals1), (p.bases2, p.quals2))):
-                if bases:
-                    name, at = self._place(bases)
-                    flag = R.PAIRED | (R.SECOND if k else R.FIRST) | (0 if at else R.UNMAPPED)
-                    lines.append("\t".join([p.id, str(flag), name, str(at), "60" if at else "0", f"{len(bases)}M" if at else "*", "*", "0", "0", bases, quals]))
-        return lines
-
-
-def align(pairs: DataFrame, aligner: Callable[[], Aligner], batch: int = 10_000) -> DataFrame:
-    """SAM lines (column value) of pairs; ``aligner`` is built once a task and fed batches of at most ``batch`` pairs."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = aligner()
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                yield pd.DataFrame({"value": own.align(frame.iloc[at : at + batch])})
-
-    return pairs.mapInPandas(run, "value string")
-
-
 def shell(command: str) -> list[str]:
     """The lines that a program prints; a program that fails raises with its error output."""
     import shlex

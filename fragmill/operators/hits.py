@@ -32,8 +32,7 @@ class PairAligner(Protocol):
 class ExactAligner:
     """A small aligner for tests and examples: the first exact place, on either strand, in a few contigs.
 
-    Places are looked up by each read's first SEED letters; reads that are shorter, or hold other letters than ACGT, are
-    not mapped. Two reads are proper if they are on one contig, on different strands, at most ``reach`` apart.
+    Places are looked up by each read's first SEED letters; for shorter reads the contigs are searched. Two reads are proper if they are on one contig, on different strands, at most ``reach`` apart.
     """
 
     SEED = 12
@@ -47,8 +46,12 @@ class ExactAligner:
     def _place(self, bases: str) -> tuple[str, int, bool] | None:
         other = bases[::-1].translate(str.maketrans("ACGT", "TGCA"))
         for read, reverse in ((bases, False), (other, True)):
-            for name, at in self.seeds.get(read[: self.SEED], ()):
-                if self.contigs[name].startswith(read, at):
+            if len(read) < self.SEED:
+                places = ((name, sequence.find(read)) for name, sequence in self.contigs.items())
+            else:
+                places = self.seeds.get(read[: self.SEED], ())
+            for name, at in places:
+                if at >= 0 and self.contigs[name].startswith(read, at):
                     return name, at + 1, reverse
         return None
 
