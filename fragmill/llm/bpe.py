@@ -22,9 +22,10 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -35,8 +36,9 @@ from pyspark.sql import functions as F
 _WHITE = r"\t-\r \x85\xa0  -     　"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 PRINTABLE = (*range(33, 127), *range(161, 173), *range(174, 256))
-#: Words remembered by a worker, the longest remembered (characters), token pairs and automaton steps remembered, characters of text at once.
-REMEMBERED, REMEMBERED_LENGTH, PAIRS, STEPS, AT_ONCE = 800_000, 40, 1_000_000, 1_000_000, 2_000_000
+#: Words remembered by a worker with their tokens and with the number of these, the longest of the first (characters), token pairs and automaton steps
+#: remembered, characters of text at once, bytes of a very long word.
+REMEMBERED, COUNTED, REMEMBERED_LENGTH, PAIRS, STEPS, AT_ONCE, LONG_WORD = 800_000, 3_000_000, 40, 400_000, 400_000, 500_000, 100_000
 
 
 
@@ -64,6 +66,8 @@ class Codec:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.words = regex.compile(WORD).findall
         self.known: dict[str, tuple[int, ...]] = {}
+        # words whose number of tokens is known: their hashes, in order, and the numbers
+        self.counted, self.sizes = np.empty(0, np.int64), np.empty(0, np.int32)
         self.beside: dict[int, bool] = {}
         # the automaton: its states are the strings that begin a token, found as they are met
         self.states: dict[bytes, int] = {b"": 0}
@@ -113,7 +117,9 @@ class Codec:
         """(word, tokens) of distinct ``words`` in sorted order: their trie, walked depth-first."""
         beside, may_follow, steps, next_state, ending = self.beside, self.may_follow, self.steps, self.next_state, self.ending
         # by depth: the automaton's state, the prefix's last token and that token's size
-        states, last, sizes = array("i", [0]), array("i", [-1]), array("i", [0])
+        # lists are faster, arrays smaller where a word is very long
+        row = list if max(map(len, words), default=0) < LONG_WORD else lambda first: array("i", first)
+        states, last, sizes = row([0]), row([-1]), row([0])
         before = b""
         for word in words:
             depth = _shared_length(before, word)
@@ -143,34 +149,63 @@ class Codec:
             yield word, tokens
             before = word
 
-    def known_words(self, texts: list[str]) -> tuple[list[list[tuple[list[str] | None, int | None]]], Callable[[str], Sequence[int]]]:
-        """Each text as parts (words, or a special token's id), and the look-up of a word's tokens."""
+    def cut(self, texts: list[str]) -> list[list[tuple[list[str] | None, int | None]]]:
+        """Each text as parts: words, or a special token's id."""
         special = self.split_special and any(s in t for t in texts for s in self.special)
         parts = [[(p, None) if k % 2 == 0 else (None, self.special[p]) for k, p in enumerate(self.split_special(t))] if special else [(t, None)] for t in texts]
-        cut = [[(self.words(p), None) if i is None else (None, i) for p, i in part] for part in parts]
-        here = {w for part in cut for words, _ in part if words for w in words}
-        known = self.known
+        return [[(self.words(p), None) if i is None else (None, i) for p, i in part] for part in parts]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Token ids of each text."""
+        cut, known = self.cut(texts), self.known
+        here = set()
+        for part in cut:
+            for words, _ in part:
+                here.update(words or ())
         if len(known) + len(here) > REMEMBERED:
             known.clear()
-        new = sorted(w.encode("utf-8", "replace") for w in here if w not in known)
-        extra: dict[str, Sequence[int]] = {}
-        for word, tokens in self.encode_words(new):
+        extra: dict[str, array] = {}
+        for word, tokens in self.encode_words(sorted(w.encode("utf-8", "replace") for w in here if w not in known)):
             text = word.decode()
             if len(text) <= REMEMBERED_LENGTH:
                 known[text] = tuple(tokens)
             else:
                 extra[text] = array("i", tokens)
-        return cut, known.__getitem__ if not extra else lambda w: known.get(w) or extra[w]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Token ids of each text."""
-        cut, look = self.known_words(texts)
+        look = known.__getitem__ if not extra else lambda w: known[w] if w in known else extra[w]
         return [list(chain.from_iterable(chain.from_iterable(map(look, words)) if i is None else (i,) for words, i in part)) for part in cut]
 
     def counts(self, texts: list[str]) -> list[int]:
-        """Number of tokens of each text."""
-        cut, look = self.known_words(texts)
-        return [sum(sum(map(len, map(look, words))) if i is None else 1 for words, i in part) for part in cut]
+        """Number of tokens of each text. Words are told apart by 64-bit hashes, so that a worker remembers COUNTED of them in little room."""
+        total = np.zeros(len(texts), np.int64)
+        flat: list[str] = []
+        lengths = np.zeros(len(texts), np.int64)
+        for k, part in enumerate(self.cut(texts)):
+            for words, i in part:
+                if i is None:
+                    flat += words
+                    lengths[k] += len(words)
+                else:
+                    total[k] += 1
+        if not flat:
+            return total.tolist()
+        unique, first, which = np.unique(np.fromiter(map(hash, flat), np.int64, len(flat)), return_index=True, return_inverse=True)
+        if len(self.counted) + len(unique) > COUNTED:
+            self.counted, self.sizes = self.counted[:0], self.sizes[:0]
+        place = np.searchsorted(self.counted, unique)
+        known = np.zeros(len(unique), bool)
+        inside = place < len(self.counted)
+        known[inside] = self.counted[place[inside]] == unique[inside]
+        size = np.empty(len(unique), np.int32)
+        size[known] = self.sizes[place[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            words = [flat[k].encode("utf-8", "replace") for k in first[new]]
+            order = sorted(range(len(words)), key=words.__getitem__)
+            size[new[order]] = np.fromiter((len(tokens) for _, tokens in self.encode_words([words[k] for k in order])), np.int32, len(order))
+            self.counted = np.insert(self.counted, place[new], unique[new])
+            self.sizes = np.insert(self.sizes, place[new], size[new])
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        return (total + np.bincount(owner, size[which], len(texts)).astype(np.int64)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of token ids; bytes that aren't UTF-8 become replacement characters."""
