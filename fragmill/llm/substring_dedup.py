@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -117,8 +118,14 @@ def repeated(docs: DataFrame) -> DataFrame:
 def _cutter(text_at: int, chars_at: int | None, schema: pa.Schema) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone, lost = [], [], []
-            for text, spans in zip(batch.column(text_at), batch.column(batch.num_columns - 1), strict=True):
+            found = batch.column(batch.num_columns - 1)
+            touched, texts, gone, lost = found.is_valid(), [], [], []
+            for text, spans in zip(batch.column(text_at), found, strict=True):
+                if not spans.is_valid:
+                    texts.append(None)
+                    gone.append(0)
+                    lost.append(0)
+                    continue
                 parts = sentences(text.as_py())
                 covered = np.zeros(len(parts) + 1, np.int64)
                 for span in spans.as_py():
@@ -129,9 +136,10 @@ def _cutter(text_at: int, chars_at: int | None, schema: pa.Schema) -> Callable:
                 gone.append(int((~stays).sum()))
                 lost.append(sum(len(x.split()) for x, s in zip(parts, stays, strict=True) if not s))
             columns = batch.columns[:-1]
-            columns[text_at] = pa.array(texts, pa.string())
+            columns[text_at] = pc.if_else(touched, pa.array(texts, columns[text_at].type), columns[text_at])
             if chars_at is not None:
-                columns[chars_at] = pa.array([len(x) for x in texts], schema.field(chars_at).type)
+                chars = pa.array([x if x is None else len(x) for x in texts], schema.field(chars_at).type)
+                columns[chars_at] = pc.if_else(touched, chars, columns[chars_at])
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int64()), pa.array(lost, pa.int64())], names=[*batch.schema.names[:-1], "sentences", "words"])
 
     return cut
@@ -155,6 +163,4 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     plain = [f"c{k}" for k in range(len(columns))]
     schema = StructType([StructField(n, f.dataType) for n, f in zip([*plain, "sentences", "words"], whole.schema, strict=True)])
     cut = _cutter(columns.index("text"), chars_at, to_arrow_schema(docs.schema))
-    changed = joined.where(F.col(spans).isNotNull()).toDF(*plain, spans).mapInArrow(cut, schema).toDF(*whole.columns)
-    untouched = joined.where(F.col(spans).isNull()).drop(spans).withColumns(none)
-    return whole.union(untouched).union(changed)
+    return whole.union(joined.toDF(*plain, spans).mapInArrow(cut, schema).toDF(*whole.columns))

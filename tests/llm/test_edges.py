@@ -1,5 +1,7 @@
 """Every operator and stage on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import re
+
 import pytest
 
 import corpus_pipeline
@@ -115,3 +117,13 @@ def test_ids_of_another_type(spark):
     df = spark.createDataFrame([(i, f"{PROSE} {i}", "en", "s", 1) for i in ids], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.component_id for r in jaccard_components(df).collect()} == {min(ids)}
     assert [r.doc_id for r in keep_one_each(df).collect()] == [min(ids)]
+
+
+def test_dedup_joins_its_runs_once(docs, monkeypatch):
+    found = substring_dedup.dedup_substrings(docs)
+    assert len(re.findall(r"Join LeftOuter, .*= id_", found._jdf.queryExecution().optimizedPlan().toString())) == 1
+    # whatever the filter lets through, rows without a repeated run stay as they are
+    monkeypatch.setattr(substring_dedup, "split_by_ids", lambda d, ids: (d, d.limit(0)))
+    through = substring_dedup.dedup_substrings(docs)
+    assert sorted(map(str, through.collect())) == sorted(map(str, found.collect()))
+    assert {r.doc_id for r in found.where("n_sentences_removed > 0").collect()} == {2, 10}
