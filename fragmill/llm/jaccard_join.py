@@ -257,7 +257,9 @@ def _linked(docs: DataFrame) -> DataFrame:
     firsts = worded.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
     members = roots.select(F.col("node").alias("fp"), "root").join(firsts, "fp")
     least = members.join(members.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "least")
-    final = firsts.join(least, "fp", "left").select("fp", "first", F.coalesce("least", "first").alias("best"))
+    # written, so that the join can be split at a class of many copies
+    final = materialise(firsts.join(least, "fp", "left").select("fp", "first", F.coalesce("least", "first").alias("best")), "jaccard-final")
+    forget(roots)
     return profile.join(final, "fp", "left").select("doc_id", "text_hash", "n", "first", "best")
 
 

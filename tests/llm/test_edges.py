@@ -127,3 +127,21 @@ def test_dedup_joins_its_runs_once(docs, monkeypatch):
     through = substring_dedup.dedup_substrings(docs)
     assert sorted(map(str, through.collect())) == sorted(map(str, found.collect()))
     assert {r.doc_id for r in found.where("n_sentences_removed > 0").collect()} == {2, 10}
+
+
+def test_jaccard_splits_a_large_class(spark):
+    copies = [(k, PROSE if k % 3 else f"{k} {PROSE[k % 40 :]} {k}") for k in range(900)]
+    df = spark.createDataFrame(copies, "doc_id long, text string").repartition(8)
+    adaptive = "spark.sql.adaptive."
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", adaptive + "coalescePartitions.enabled": "false", adaptive + "advisoryPartitionSizeInBytes": "64b", adaptive + "skewJoin.skewedPartitionThresholdInBytes": "64b", adaptive + "skewJoin.skewedPartitionFactor": "1.1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = jaccard_components(df)
+        rows = found.collect()
+        assert "SortMergeJoin(skew=true)" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 900 and len({(r.class_id, r.component_id) for r in rows if r.doc_id % 3}) == 1
