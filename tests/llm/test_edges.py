@@ -145,3 +145,11 @@ def test_jaccard_splits_a_large_class(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert len(rows) == 900 and len({(r.class_id, r.component_id) for r in rows if r.doc_id % 3}) == 1
+
+
+def test_jaccard_follows_long_chains(spark):
+    """Every text links with the next one only; the least doc_id is reached from the other end."""
+    chain = [(k, " ".join(f"w{i}" for i in range(6 * k, 6 * k + 60))) for k in range(400)]
+    df = spark.createDataFrame([*chain, (1000, "quite another text " * 9)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_components(df).collect()}
+    assert got == {**dict.fromkeys(range(400), 0), 1000: 1000}
