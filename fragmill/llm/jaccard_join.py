@@ -78,22 +78,25 @@ def _folded(hashes: list[np.ndarray], fps: list[int]) -> pa.RecordBatch:
     What a class shares here is told by a row of its own (fp, known): the number of its n-grams. The rest is null.
     """
     own = np.array(fps, np.int64)
-    h, owner = np.concatenate(hashes), np.repeat(np.arange(len(fps)), [len(x) for x in hashes])
+    h, owner = np.concatenate(hashes), np.repeat(np.arange(len(fps), dtype=np.int32), [len(x) for x in hashes])
     order = np.argsort(h, kind="stable")
     h, owner = h[order], owner[order]
+    del order
     starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     sizes = np.diff(np.r_[starts, len(h)])
     fp, alone = own[owner], sizes == 1
     lo, hi = np.minimum.reduceat(fp, starts), np.maximum.reduceat(fp, starts)
     known = np.bincount(owner[np.repeat(~alone, sizes)], minlength=len(fps))
+    h = h[starts].view(np.int64)
+    del fp, owner, starts, sizes
     told = np.flatnonzero(known)
     none = np.ones(len(told), bool)
     columns = [
-        pa.array(np.r_[h[starts].view(np.int64), own[told]]),
+        pa.array(np.r_[h, own[told]]),
         pa.array(np.r_[lo, own[told]], mask=np.r_[~alone, ~none]),
         pa.array(np.r_[lo, own[told]], mask=np.r_[alone, none]),
         pa.array(np.r_[hi, own[told]], mask=np.r_[alone, none]),
-        pa.array(np.r_[lo, known[told]], mask=np.r_[np.ones(len(starts), bool), ~none]),
+        pa.array(np.r_[lo, known[told]], mask=np.r_[np.ones(len(alone), bool), ~none]),
     ]
     return pa.RecordBatch.from_arrays(columns, ["h", "fp", "lo", "hi", "known"])
 
@@ -105,7 +108,7 @@ def _first_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             own = shingle_set(text.as_py(), WORDS)
             if len(own) and (fp := fingerprint(own)) not in seen:
                 seen.add(fp)
-                part = own[: np.searchsorted(own, FIRST)]
+                part = own[: np.searchsorted(own, FIRST)].copy()
                 if len(part):
                     hashes.append(part)
                     fps.append(fp)
