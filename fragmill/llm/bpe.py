@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fragmill.llm.common import gives_back
+
 #: The byte-level word pattern, with white space spelled out, and the printable bytes that stand for themselves.
 _WHITE = r"\t-\r \x85\xa0  -     　"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
@@ -252,6 +254,7 @@ def _portions(batch: pa.RecordBatch, docs_at_once: int = 256) -> Iterator[pa.Rec
 
 
 def _batched(make: Callable[[Codec, list], list[pa.Array]], names: list[str], shared):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
         for batch in batches:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fragmill.llm.common import all_of, components, forget, fresh, materialise, named, split_by_ids
+from fragmill.llm.common import all_of, components, forget, fresh, gives_back, materialise, named, split_by_ids
 from fragmill.llm.shingles import fingerprint, shingle_set
 
 WORDS = 5
@@ -48,6 +48,7 @@ FRAGMENTS = 2
 FOLDED = 2_000_000
 
 
+@gives_back
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, first, fp = [], [], []
@@ -59,6 +60,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(fp, pa.int64())], ["doc_id", "text_hash", "n", "n1", "fp"])
 
 
+@gives_back
 def _with_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(text.as_py(), WORDS) for text in batch.column(0)]
@@ -101,6 +103,7 @@ def _folded(hashes: list[np.ndarray], fps: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["h", "fp", "lo", "hi", "known"])
 
 
+@gives_back
 def _first_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen, hashes, fps, held = set(), [], [], 0
@@ -120,6 +123,7 @@ def _first_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield _folded(hashes, fps)
 
 
+@gives_back
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, wanted = batch.column(0), batch.column(1).to_pylist()

@@ -28,7 +28,7 @@ from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 from xxhash import xxh3_128_intdigest
 
-from fragmill.llm.common import all_of, fresh, materialise, named, split_by_ids
+from fragmill.llm.common import all_of, fresh, gives_back, materialise, named, split_by_ids
 from fragmill.llm.shingles import mix
 
 MIN_WORDS, LONG_WORDS = 20, 40
@@ -85,6 +85,7 @@ def runs(text: str) -> tuple[np.ndarray, ...]:
     return found[:, 0], found[:, 1], i, j
 
 
+@gives_back
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -116,6 +117,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 
 def _cutter(text_at: int, chars_at: int | None, schema: pa.Schema) -> Callable:
+    @gives_back
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column(batch.num_columns - 1)

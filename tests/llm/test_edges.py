@@ -1,6 +1,9 @@
 """Every operator and stage on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import os
 import re
+import subprocess
+import sys
 
 import pytest
 
@@ -153,3 +156,47 @@ def test_jaccard_follows_long_chains(spark):
     df = spark.createDataFrame([*chain, (1000, "quite another text " * 9)], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in jaccard_components(df).collect()}
     assert got == {**dict.fromkeys(range(400), 0), 1000: 1000}
+
+
+IDLE = """
+import re, sys
+from pathlib import Path
+import numpy as np, pyarrow as pa
+from fragmill.llm import bpe, common, jaccard_join, substring_dedup
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+class Vocabulary:
+    value = Path(sys.argv[2]).read_text(encoding="utf-8")
+
+def batch(text_at):
+    rng = np.random.default_rng(1)
+    text = pa.array([" ".join(map(str, rng.integers(0, 300, 800))) for _ in range(3000)])
+    ids = pa.array(range(3000), pa.int64())
+    yield pa.RecordBatch.from_arrays([text] if text_at == 0 else [ids, text, ids], ["text"] if text_at == 0 else ["doc_id", "text", "text_hash"])
+
+runs = {
+    "profiles": lambda: jaccard_join._profiles(batch(1)),
+    "first": lambda: jaccard_join._first_fragment(batch(0)),
+    "spans": lambda: substring_dedup._spans(batch(1)),
+    "tokens": lambda: bpe._batched(bpe._counted, ["doc_id", "n"], Vocabulary)(batch(1)),
+}
+for rows in runs[sys.argv[1]]():
+    pass
+del rows
+after = held()
+common.give_back()
+print(after - held())
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory can't be read here")
+@pytest.mark.parametrize("name", ["profiles", "first", "spans", "tokens"])
+def test_idle_workers_hold_no_freed_memory(name):
+    """A worker that waits for its next task counts as its executor's memory, with all that its allocators keep."""
+    import public_tokenizers
+
+    ran = subprocess.run([sys.executable, "-c", IDLE, name, public_tokenizers.path(corpus_pipeline.VOCABULARY)], capture_output=True, text=True, timeout=120)
+    assert ran.returncode == 0, ran.stderr
+    assert float(ran.stdout) < 4
