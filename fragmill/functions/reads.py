@@ -43,7 +43,7 @@ def guess_encoding(quals: str) -> Column:
 
 def known_bases(bases: str) -> Column:
     """Bases other than N (or the unknown mark ``.``)."""
-    return F.length(F.regexp_replace(bases, "[N.]", ""))
+    return F.length(F.translate(bases, "N.", ""))
 
 
 def cigar_ops(cigar: str = "cigar") -> Column:

@@ -49,6 +49,21 @@ FROM (SELECT r.*, substr(translate(md5(concat('bc', (l_orderkey % 6) * 7 + l_ord
 """
 
 
+#: READS as Spark runs it: rows are numbered while they are narrow, and by the place of their cluster, which is an order's,
+#: so what is brought together by place afterwards needs no shuffle of its own. Sequences are made after that.
+PLACED_READS = """
+SELECT instrument, 1 AS run_number, 'FC1' AS flowcell_id, lane, tile, xpos, CAST(floor((rn - 1) / 2) AS INT) AS ypos, CAST((rn - 1) % 2 + 1 AS INT) AS read,
+       translate(md5(concat(l_orderkey, '-', l_linenumber)), '0123456789abcdef', 'ACGTACGTACGTACGN') AS bases,
+       translate(md5(concat(l_linenumber, '-', l_orderkey)), '0123456789abcdef', '#+3;CK5ABDEFGHI!') AS quals,
+       l_returnflag <> 'R' AS filter_passed, l_suppkey, l_partkey, l_orderkey, rn, l_linenumber
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY {place} ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn
+  FROM (
+    SELECT *, concat('M', l_orderkey % 4) AS instrument, CAST(l_orderkey % 8 + 1 AS INT) AS lane, CAST(1101 + l_orderkey % 12 AS INT) AS tile, CAST(l_orderkey AS INT) AS xpos
+    FROM {lineitem}) AS placed) AS numbered
+"""
+
+
 def reads_sql(lineitem: str = "lineitem") -> str:
     return READS.format(lineitem=lineitem)
 
@@ -74,11 +89,11 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(reads_sql("{l}"), l=lineitem(spark, sf_dir))
+    return spark.sql(PLACED_READS.format(place="xpos, tile, lane, instrument", lineitem="{l}"), l=lineitem(spark, sf_dir))
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(alignments_sql("{l}"), l=lineitem(spark, sf_dir))
+    return spark.sql(ALIGNMENTS.format(reads=PLACED_READS.format(place="l_orderkey", lineitem="{l}")), l=lineitem(spark, sf_dir))
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +109,7 @@ def multiplexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     data = reads(spark, sf_dir).select("instrument", "run_number", F.lit(None).cast("string").alias("flowcell_id"), "lane", "tile", "xpos", "ypos", (2 * F.col("read") - 1).alias("read"), "bases", "quals", "filter_passed", F.lit(None).cast("string").alias("index_seq"))
-    index = spark.sql(index_sql("{l}"), l=lineitem(spark, sf_dir))
+    # INDEX_READS on the first reads of all clusters: one row each
+    index = spark.sql(INDEX_READS.replace("DISTINCT ", "").format(reads="{r}"), r=reads(spark, sf_dir).where("read = 1"))
     index = index.select("instrument", "run_number", F.lit(None).cast("string").alias("flowcell_id"), "lane", "tile", "xpos", "ypos", F.lit(2).alias("read"), "bases", F.lit(None).cast("string").alias("quals"), F.lit(True).alias("filter_passed"), F.lit(None).cast("string").alias("index_seq"))
     return data.unionByName(index)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,39 +50,40 @@ def _fastq_records(spark: SparkSession, path: str | list[str], mode: str) -> Dat
     """id, bases and quals of four-line records, without a shuffle of whole records.
 
     The file is read in pieces that end before a line which begins with @, so files are split like any text. Where that
-    line is one of qualities, a record comes as two pieces; only these are brought together, by their place.
+    line is one of qualities, a record comes as two pieces, of three lines and one; only these are brought together, by
+    their place. Pieces are told apart by their number of lines, so each is parsed once.
     """
     pieces = spark.read.option("lineSep", "\n@").text(path).select(
-        F.regexp_replace("value", r"\r?\n?$", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")
+        F.replace("value", F.lit("\r"), F.lit("")).alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")
     )
-    # the first piece of a file keeps its @
+    # the last piece of a file keeps its line's end, the first its @
+    pieces = pieces.withColumn("value", F.when(F.col("value").endswith("\n"), F.regexp_replace("value", r"\n?$", "")).otherwise(F.col("value")))
     first = (F.col("block") == 0) & F.col("value").startswith("@") & F.col("value").contains("\n")
     pieces = pieces.withColumn("value", F.when(first, F.substring("value", 2, 2**31 - 1)).otherwise(F.col("value"))).where("value != ''")
-    lines = F.split(F.regexp_replace("value", "\r", ""), "\n", -1)
-    bases = r"^[A-Za-z.*]*$"
-    body = (lines[1].rlike(bases)) & lines[2].startswith("+")
-    n = F.size(lines)
-    kind = F.when((n == 4) & body & (F.length(lines[1]) == F.length(lines[3])), "whole").when((n == 3) & body, "head").when(n == 1, "tail").otherwise("bad")
-    told = pieces.select(lines.alias("c"), kind.alias("kind"), "file", "block", "place", "value")
-    one = lambda c, quals: (F.get(F.col(c), F.lit(0)).alias("id"), F.get(F.col(c), F.lit(1)).alias("bases"), quals.alias("quals"))
-    fault = F.raise_error(F.concat(F.lit("bad fastq record in "), F.col("file"), F.lit(": "), F.col("value")))
-    whole = told.where("kind in ('whole', 'bad')" if mode == "fail" else "kind = 'whole'")
-    whole = whole.select(*one("c", F.when(F.col("kind") == "whole", F.col("c")[3]).otherwise(fault)))
+    ends = F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit("")))
+    body = F.get("c", F.lit(1)).rlike(r"^[A-Za-z.*]*$") & F.get("c", F.lit(2)).startswith("+")
+    fault = lambda text: F.raise_error(F.concat(F.lit("bad fastq record in "), F.col("file"), F.lit(": "), text))
+    one = lambda quals: (F.get("c", F.lit(0)).alias("id"), F.get("c", F.lit(1)).alias("bases"), quals.alias("quals"))
+    split = lambda df: df.withColumn("c", F.split("value", "\n", -1))
+    good = F.coalesce((F.size("c") == 4) & body & (F.length(F.get("c", F.lit(1))) == F.length(F.get("c", F.lit(3)))), F.lit(False))
+    whole = split(pieces.where(ends.isin(0, 2) == F.lit(False)))
+    whole = whole.where(good) if mode == "quarantine" else whole
+    whole = whole.select(*one(F.get("c", F.lit(3)) if mode == "quarantine" else F.when(good, F.get("c", F.lit(3))).otherwise(fault(F.col("value")))))
     # a head's tail is the next piece of its block, or the first of a later block of its file
-    halves = told.where("kind in ('head', 'tail')").select("file", "block", "place", "kind", "c", "value")
-    tails = halves.where("kind = 'tail'").select("file", "block", (F.col("place") - 1).alias("place"), F.col("c")[0].alias("rest"))
-    met = halves.where("kind = 'head'").join(tails, ["file", "block", "place"], "full_outer")
-    beside = met.where("kind is not null and rest is not null")
-    apart = met.where("kind is null or rest is null").withColumn("after", F.lead("rest").over(Window.partitionBy("file").orderBy("block", "place")))
-    apart = apart.withColumn("before", F.lag("kind").over(Window.partitionBy("file").orderBy("block", "place")))
-    joined = beside.select("file", "c", "value", "rest", F.lit(False).alias("lone")).union(
-        apart.where("kind is not null or before is null").select("file", "c", "value", F.col("after").alias("rest"), F.col("kind").isNull().alias("lone"))
-    )
-    quals = F.concat(F.lit("@"), F.col("rest"))
-    fits = ~F.col("lone") & F.col("rest").isNotNull() & (F.length(quals) == F.length(F.get(F.col("c"), F.lit(1))))
-    what = F.raise_error(F.concat(F.lit("bad fastq record in "), F.col("file"), F.lit(": "), F.coalesce("value", "rest")))
+    halves = pieces.where(ends.isin(0, 2)).withColumn("head", ends == 2)
+    sides = [F.max(F.when(F.col("head") == side, F.col("value"))).alias(n) for n, side in (("value", True), ("rest", False))]
+    met = halves.groupBy("file", "block", (F.col("place") - F.when(F.col("head"), 0).otherwise(1)).alias("place")).agg(*sides)
+    if mode == "quarantine":
+        met = split(met).withColumn("value", F.when(body, F.col("value"))).drop("c").where("value is not null or rest is not null")
+    beside = met.where("value is not null and rest is not null")
+    by_file = Window.partitionBy("file").orderBy("block", "place")
+    apart = met.where("value is null or rest is null").withColumns({"after": F.lead("rest").over(by_file), "before": F.lag("value").over(by_file)})
+    joined = beside.select("file", "value", "rest").union(apart.where("value is not null or before is null").select("file", "value", F.when(F.col("value").isNotNull(), F.col("after")).otherwise(F.col("rest")).alias("rest")))
+    quals = F.concat(F.lit("@"), "rest")
+    fits = F.coalesce(body & (F.length(quals) == F.length(F.get("c", F.lit(1)))), F.lit(False))
+    joined = split(joined)
     joined = joined.where(fits) if mode == "quarantine" else joined
-    return whole.union(joined.select(*one("c", F.when(fits, quals).otherwise(what))))
+    return whole.union(joined.select(*one(F.when(fits, quals).otherwise(fault(F.coalesce("value", "rest"))))))
 
 
 def read_fastq(spark: SparkSession, path: str | list[str], encoding: str = "sanger", mode: str = "fail") -> DataFrame:
@@ -92,8 +94,10 @@ def read_fastq(spark: SparkSession, path: str | list[str], encoding: str = "sang
     """
     df = _fastq_records(spark, path, mode)
     meta = r"^([^:\s]+):(\d+):([^:\s]*):(\d+):(\d+):(-?\d+):(-?\d+)(?:\s+(\d):([YN]):(\d*):([ACGTNacgtn]*))?$"
-    m = [F.nullif(F.regexp_extract("id", meta, k), F.lit("")) for k in range(1, 12)]
-    plain = F.nullif(F.regexp_extract("id", r"/([12])$", 1), F.lit("")).cast("int")
+    # one match a record: the fields of an id that fits lie between colons and white space
+    df = df.withColumn("m", F.when(F.col("id").rlike(meta), F.split("id", r":|\s+", -1)))
+    m = [F.nullif(F.get("m", F.lit(k)), F.lit("")) for k in range(11)]
+    plain = F.when(F.col("id").endswith("/1"), 1).when(F.col("id").endswith("/2"), 2)
     quals = R.reencode("quals") if encoding == "illumina" else F.col("quals")
     columns = [m[0], m[1].cast("int"), m[2], *(m[k].cast("int") for k in range(3, 7)), m[10], F.coalesce(m[7].cast("int"), plain), F.translate(F.upper("bases"), ".", "N"), quals, m[8] == "N", F.col("id")]
     return df.select(*(x.alias(n) for x, n in zip(columns, READ, strict=True)))
@@ -323,6 +327,22 @@ def write(df: DataFrame, name: str, path: str, compression: str | None = None, p
 NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
+#: Folders to which a task writes at the same time, in the rows' order; only beyond that its rows are sorted by folder.
+WRITERS_LIMIT = 100
+
+
+@contextmanager
+def _side_by_side(spark: SparkSession):
+    """While this holds, a task has a writer for each folder."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(WRITERS_LIMIT))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _file_system(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
@@ -339,7 +359,8 @@ def write_by_folder(df: DataFrame, name: str, path: str, folders: list[str], com
     if fs.exists(target):
         raise FileExistsError(path)
     staged = f"{path}/_written"
-    write(df, name, staged, compression, folders)
+    with _side_by_side(spark):
+        write(df, name, staged, compression, folders)
     join = spark._jvm.org.apache.hadoop.fs.Path
 
     def place(folder, to, left: int) -> None:
@@ -387,8 +408,23 @@ def concatenate(spark: SparkSession, parts: str, path: str) -> None:
 
 
 def write_pair_fastq(pairs: DataFrame, first: str, second: str, compression: str | None = None) -> None:
-    """Two folders of fastq, read 1 and read 2 of each pair; a pair without a mate raises."""
+    """Two folders of fastq, read 1 and read 2 of each pair, in one order; a pair without a mate raises.
+
+    Both are written in one pass, each task's pairs to a file of either folder, below a folder that then goes.
+    """
+    fs, _ = _file_system(pairs.sparkSession, first)
+    join = pairs.sparkSession._jvm.org.apache.hadoop.fs.Path
+    for path in (first, second):
+        if fs.exists(join(path)):
+            raise FileExistsError(path)
     whole = F.when(F.col("bases2").isNotNull(), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("no second read: "), F.col("id"))))
+    both = F.array(*(F.struct(F.lit(read).alias("read"), fastq_of_pair(read).alias("value")) for read in (1, 2)))
+    lines, staged = pairs.withColumn("id", whole).select(F.inline(both)), f"{first}.parts"
+    with _side_by_side(pairs.sparkSession):
+        lines.write.option("compression", compression or "none").partitionBy("read").text(staged)
     for read, path in ((1, first), (2, second)):
-        lines = pairs.withColumn("id", whole).select(fastq_of_pair(read).alias("value")).write
-        (lines.option("compression", compression) if compression else lines).text(path)
+        written, to = join(staged, f"read={read}"), join(path)
+        fs.mkdirs(to.getParent())
+        if not (fs.rename(written, to) if fs.exists(written) else fs.mkdirs(to)):
+            raise OSError(f"{staged} can't be put in its place {path}")
+    fs.delete(join(staged), True)
