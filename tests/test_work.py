@@ -1,13 +1,16 @@
 """How much work plans do: what is shuffled, how often input is read, what is computed once."""
 
+import random
 import re
 import uuid
 
 import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from fragmill.operators import pairing as P
+from fragmill.operators import recab
 from fragmill.plans import catalogue
 from fragmill.plans import views as V
 from fragmill.sources import formats as S
@@ -85,3 +88,58 @@ def test_pairs_by_place_and_by_name(spark):
     assert sorted((r.id, r.bases1, r.bases2) for r in P.pair(reads, min_bases=1).collect()) == [("M1:1::1:2:3:4#0", "ACGT", "TTTT"), ("n", "ACGT", "GGGG")]
     with pytest.raises(PySparkException, match="too many"):
         P.pair(reads.union(spark.createDataFrame([row(1)], schema)), min_bases=1).collect()
+
+
+SAM = "rg string, flag int, rname string, pos int, mapq int, tlen int, seq string, qual string, cigar string, md string"
+SHAPES = [("8M", "8"), ("8M", "0A3C3"), ("2S6M", "6"), ("3M2I3M", "1T4"), ("4M2D4M", "4^AC0G3"), ("4M1S", "4"), ("10M", "10"), ("*", "0"), ("1M3D1I2M", "1^AAA2"), ("7S", "0")]
+
+
+def alignments(spark, n=400):
+    dice = random.Random(5)
+    rows = []
+    for _ in range(n):
+        long = dice.choice([1, 5, 8, 8, 8, 12])
+        cigar, md = dice.choice(SHAPES)
+        rows.append((dice.choice(["a", "b", "c"]), dice.choice([0, 16, 128, 144, 1, 4, 1024]), dice.choice(["c0", "c1", None]), dice.choice([-3, 1, 2, 5, 50, None]), dice.choice([0, 30, 255, 9]), dice.choice([None, 0, 3, -5, 8, 200]),
+            "".join(dice.choice("ACGTNa") for _ in range(long)), "".join(dice.choice("!#5I~") for _ in range(long)), cigar, md))
+    return spark.createDataFrame(rows, SAM)
+
+
+@pytest.mark.parametrize("known", [None, [("c0", 3, 2), ("c1", 50, 1), ("c0", -1, 3), ("c9", 7, 1), (None, 5, 1)], [], [("c0", 4, 1), ("c1", 2**30, 1)]])
+def test_counted_by_batches_as_by_rows(spark, known):
+    sam = alignments(spark)
+    variants = None if known is None else spark.createDataFrame(known, "contig string, pos int, len int")
+    plain = ["rg", "quality", "cycle", "dinuc", "reverse", "second"]
+    slow = recab.table(sam, variants, covariates=(*plain, ("x", F.col("ref") * 0))).drop("x")
+    fast = recab.table(sam, variants, covariates=plain)
+    assert "Generate" in plan(slow) and "Generate" not in plan(fast)
+    assert fast.schema.simpleString() == slow.schema.simpleString()
+    rows = sorted(map(tuple, fast.collect()))
+    assert len(rows) > 50 and rows == sorted(map(tuple, slow.collect()))
+
+
+def test_many_tuples_at_once(spark, monkeypatch):
+    sam = alignments(spark).coalesce(1)
+    whole = sorted(map(tuple, recab.table(sam).collect()))
+    count = recab._count
+    for name, n in (("BASES_AT_ONCE", 64), ("TUPLES_LIMIT", 20)):
+        monkeypatch.setattr(recab, name, n)
+    reads = recab._taking_part(sam, None).toArrow().to_batches()
+    parts = [b for b in count(None)(iter(reads))]
+    assert len(parts) > 3
+    back = spark.createDataFrame(pd.concat([b.to_pandas() for b in parts]))
+    assert back.agg(F.sum("n_observations")).first()[0] == sum(r[4] for r in whole)
+    assert back.select("rg", "quality", "cycle", "dinuc").distinct().count() == len(whole)
+
+
+@pytest.mark.parametrize("cigar, md", [("4M", None), ("4M", "3"), ("4Q", "4"), ("2M2N2M", "4"), (None, "4"), ("4M", "4A")])
+def test_bad_alignments_raise(spark, cigar, md):
+    with pytest.raises(PySparkException):
+        recab.table(spark.createDataFrame([("a", 0, "c", 5, 9, 0, "ACGT", "IIII", cigar, md)], SAM)).collect()
+
+
+def test_csv_is_written_in_one_task_but_not_counted_in_one(spark, tmp_path):
+    counted = spark.range(100).repartition(4).select(*(F.lit(k).alias(f"c{k}") for k in range(6)), F.spark_partition_id().alias("part"))
+    recab.write_csv(counted, str(tmp_path / "t"))
+    back = spark.read.csv(str(tmp_path / "t"), header=True)
+    assert back.select("Qempirical").distinct().count() == 4 and len(list((tmp_path / "t").glob("part-*"))) == 1
