@@ -15,17 +15,20 @@ UNPLACED = 2**63 - 1
 #: Fixed values of the flow-cell sort: lanes, tiles a lane (as the partition stride counts them), reads.
 LANES, TILES = 8, 96
 CONTIGS_LIMIT = 500_000
+#: The best pairs are sent to all tasks up to this many; beyond it they are joined by shuffle.
+BEST_LIMIT = 1_000_000
 
 
 # -- duplicates ------------------------------------------------------------------------------------------------------
 
 
-def mark_duplicates(pairs: DataFrame, discard: bool = False) -> DataFrame:
+def mark_duplicates(pairs: DataFrame, discard: bool = False, row: str | None = None) -> DataFrame:
     """``pairs`` with ``duplicate``: name, ref1, pos1, rev1, ref2, pos2, rev2, score; an end is null if unmapped.
 
     Complete pairs compete under (ref1, pos1, rev1, ref2, pos2), their ends put in order; lone reads compete under
     their own end and lose to any pair that has an end there. The best score wins, ties by name. Pairs with no mapped
-    end pass.
+    end pass. If ``row`` names a column that tells rows apart, whenever they are computed, only the best rows are
+    searched, in each task first, and looked up by it; else, unless duplicates are dropped, all rows meet by their ends.
     """
     first, second = (F.struct(*(F.col(f"{c}{k}").alias(c) for c in ("ref", "pos", "rev"))) for k in (1, 2))
     has1, has2 = F.col("ref1").isNotNull(), F.col("ref2").isNotNull()
@@ -33,14 +36,22 @@ def mark_duplicates(pairs: DataFrame, discard: bool = False) -> DataFrame:
     ends = pairs.withColumns({"end1": F.when(swap, second).otherwise(first), "end2": F.when(swap, first).otherwise(second)})
     kind = F.when(has1 & has2, 2).when(has1 | has2, 1).otherwise(0)
     ends = ends.withColumn("mapped_ends", kind)
-    best = lambda *key: F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "name")) > 1
-    complete = ends.where("mapped_ends = 2").withColumn("duplicate", best("end1", "end2.ref", "end2.pos"))
-    touched = complete.select(F.explode(F.array("end1", "end2")).alias("end1")).distinct().withColumn("touched", F.lit(True))
-    lone = ends.where("mapped_ends = 1").withColumn("beaten", best("end1")).join(touched, "end1", "left")
-    lone = lone.withColumn("duplicate", F.col("beaten") | F.col("touched").isNotNull())
-    rest = ends.where("mapped_ends = 0").withColumn("duplicate", F.lit(False))
-    marked = complete.select(*pairs.columns, "duplicate").union(lone.select(*pairs.columns, "duplicate")).union(rest.select(*pairs.columns, "duplicate"))
-    return marked.where("not duplicate") if discard else marked
+    place = lambda *key: F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "name"))
+    complete = ends.where("mapped_ends = 2").withColumn("place", place("end1", "end2.ref", "end2.pos"))
+    touched = ends.where("mapped_ends = 2").select(F.explode(F.array("end1", "end2")).alias("end1")).distinct()
+    lone = ends.where("mapped_ends = 1").withColumn("place", place("end1"))
+    rest = ends.where("mapped_ends = 0")
+    if discard or row:
+        best = complete.where("place = 1").select(*pairs.columns).union(lone.where("place = 1").join(touched, "end1", "left_anti").select(*pairs.columns))
+        if discard:
+            return best.union(rest.select(*pairs.columns)).withColumn("duplicate", F.lit(False))
+        best = best.select(row, F.lit(True).alias("best"))
+        best = F.broadcast(best) if best.limit(BEST_LIMIT + 1).count() <= BEST_LIMIT else best
+        return pairs.join(best, row, "left").withColumn("duplicate", F.col("best").isNull() & (has1 | has2)).select(*pairs.columns, "duplicate")
+    complete = complete.withColumn("duplicate", F.col("place") > 1)
+    lone = lone.join(touched.withColumn("touched", F.lit(True)), "end1", "left").withColumn("duplicate", (F.col("place") > 1) | F.col("touched").isNotNull())
+    rest = rest.withColumn("duplicate", F.lit(False))
+    return complete.select(*pairs.columns, "duplicate").union(lone.select(*pairs.columns, "duplicate")).union(rest.select(*pairs.columns, "duplicate"))
 
 
 # -- sorting ---------------------------------------------------------------------------------------------------------

@@ -10,9 +10,10 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fragmill.functions import reads as R
 from fragmill.operators import alignments as A
@@ -36,6 +37,7 @@ class ExactAligner:
     """
 
     SEED = 12
+    OTHER = str.maketrans("ACGT", "TGCA")
 
     def __init__(self, contigs: dict[str, str], reach: int = 1000) -> None:
         self.contigs, self.reach, self.seeds = contigs, reach, {}
@@ -44,8 +46,8 @@ class ExactAligner:
                 self.seeds.setdefault(sequence[at : at + self.SEED], []).append((name, at))
 
     def _place(self, bases: str) -> tuple[str, int, bool] | None:
-        other = bases[::-1].translate(str.maketrans("ACGT", "TGCA"))
-        for read, reverse in ((bases, False), (other, True)):
+        for reverse in (False, True):
+            read = bases[::-1].translate(self.OTHER) if reverse else bases
             if len(read) < self.SEED:
                 places = ((name, sequence.find(read)) for name, sequence in self.contigs.items())
             else:
@@ -74,17 +76,26 @@ class ExactAligner:
 
 def align(pairs: DataFrame, aligner: Callable[[], PairAligner], batch: int = 10_000) -> DataFrame:
     """id and hits of pairs (id, bases1, quals1, bases2, quals2); ``aligner`` is built once a task and gets at most ``batch`` pairs."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    fields = [(n, kinds[t]) for n, t in (field.split(" ") for field in HIT.split(", "))]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner()
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                rows = [((r.bases1, r.quals1), (r.bases2, r.quals2) if isinstance(r.bases2, str) else None) for r in part.itertuples(index=False)]
-                full = [[dict.fromkeys(NAMES) | h | {"read": k + 1, "paired": len(found) == 2} for k, h in enumerate(found)] for found in own.hits(rows)]
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "hits": full})
-
-    return pairs.mapInPandas(run, SCHEMA)
+        for whole in batches:
+            for at in range(0, len(whole), batch):
+                part = whole.slice(at, batch)
+                bases1, quals1, bases2, quals2 = (part.column(k).to_pylist() for k in range(1, 5))
+                rows = [((a, b), (c, d) if c is not None else None) for a, b, c, d in zip(bases1, quals1, bases2, quals2, strict=True)]
+                full = own.hits(rows)
+                flat, starts = [h for found in full for h in found], [0]
+                for found in full:
+                    starts.append(starts[-1] + len(found))
+                made = {"read": [k for found in full for k in range(1, len(found) + 1)], "paired": [len(found) == 2 for found in full for _ in found]}
+                columns = [pa.array(made[n] if n in made else [h.get(n) for h in flat], t) for n, t in fields]
+                hits = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays(columns, [n for n, _ in fields]))
+                yield pa.RecordBatch.from_arrays([part.column(0), hits], ["id", "hits"])
+
+    return pairs.select("id", "bases1", "quals1", "bases2", "quals2").mapInArrow(run, SCHEMA)
 
 
 NAMES = [field.split(" ")[0] for field in HIT.split(", ")]
@@ -107,20 +118,32 @@ def good_hits(min_mapq: int = 0, remove_unmapped: bool = True) -> Link:
     return link
 
 
+def _with_ends(found: DataFrame) -> DataFrame:
+    """``found`` (id, hits) with name, the untrimmed ends (ref, pos, rev) of both hits, and the score by which pairs compete."""
+    ends = found
+    for k in (1, 2):
+        hit = F.get("hits", F.lit(k - 1))
+        ends = ends.withColumns({f"m{k}": hit["mapped"], f"ops{k}": F.when(hit["mapped"], hit["cigar"])})
+        ends = ends.withColumn(f"ops{k}", F.when(F.col(f"m{k}"), R.cigar_ops(f"ops{k}"))).withColumn(f"p{k}", hit["pos"])
+        five = F.when(hit["reverse"], R.untrimmed_right(f"ops{k}", f"p{k}")).otherwise(R.untrimmed_left(f"ops{k}", f"p{k}"))
+        ends = ends.withColumns({f"ref{k}": F.when(F.col(f"m{k}"), hit["contig"]), f"pos{k}": F.when(F.col(f"m{k}"), five), f"rev{k}": F.when(F.col(f"m{k}"), hit["reverse"])})
+    total = F.aggregate(F.transform("hits", lambda h: F.aggregate(R.quality_array_of(h["quals"]), F.lit(0), lambda t, q: t + F.when(q >= 15, q).otherwise(0))), F.lit(0), lambda t, x: t + x)
+    return ends.select("id", "hits", F.col("id").alias("name"), *(f"{c}{k}" for k in (1, 2) for c in ("ref", "pos", "rev")), total.cast("long").alias("score"))
+
+
 def duplicates(discard: bool = False) -> Link:
-    """A link that adds ``duplicate``: whether a better pair has the same untrimmed ends; or drops these."""
+    """A link that adds ``duplicate``: whether a better pair has the same untrimmed ends; or drops these.
+
+    Hits are written to the shared folder with their ends and read again, so pairs are aligned once, and whole rows
+    need not be brought together by their ends.
+    """
 
     def link(found: DataFrame) -> DataFrame:
-        ends = found
-        for k in (1, 2):
-            hit = F.get("hits", F.lit(k - 1))
-            ends = ends.withColumns({f"m{k}": hit["mapped"], f"ops{k}": F.when(hit["mapped"], hit["cigar"])})
-            ends = ends.withColumn(f"ops{k}", F.when(F.col(f"m{k}"), R.cigar_ops(f"ops{k}"))).withColumn(f"p{k}", hit["pos"])
-            five = F.when(hit["reverse"], R.untrimmed_right(f"ops{k}", f"p{k}")).otherwise(R.untrimmed_left(f"ops{k}", f"p{k}"))
-            ends = ends.withColumns({f"ref{k}": F.when(F.col(f"m{k}"), hit["contig"]), f"pos{k}": F.when(F.col(f"m{k}"), five), f"rev{k}": F.when(F.col(f"m{k}"), hit["reverse"])})
-        total = F.aggregate(F.transform("hits", lambda h: F.aggregate(R.quality_array_of(h["quals"]), F.lit(0), lambda t, q: t + F.when(q >= 15, q).otherwise(0))), F.lit(0), lambda t, x: t + x)
-        pairs = ends.select("id", "hits", F.col("id").alias("name"), *(f"{c}{k}" for k in (1, 2) for c in ("ref", "pos", "rev")), total.cast("long").alias("score"))
-        return A.mark_duplicates(pairs, discard).select("id", "hits", "duplicate")
+        from fragmill.sources import formats
+
+        path = formats.shared_folder(found.sparkSession)
+        _with_ends(found).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+        return A.mark_duplicates(found.sparkSession.read.parquet(path), discard, row="row").select("id", "hits", "duplicate")
 
     return link
 
@@ -246,8 +269,8 @@ def snp_places(masks: DataFrame, found: DataFrame, genome: str) -> DataFrame:
     ok = h["mapped"] & (h["mismatches"] <= 0) & (h["mapq"] > 0)
     middle = h["pos"] + F.floor((F.length(h["bases"]) - 1) / 2)
     rows = found.where(ok).select(name.alias("vid"), h["contig"].alias("chromosome"), middle.cast("int").alias("pos"), F.when(h["reverse"], "-").otherwise("+").alias("strand"), F.regexp_extract("id", "-([AB])$", 1).alias("allele"))
-    copies = rows.groupBy("vid").agg(F.count("*").alias("copies"))
-    joined = masks.select("vid").distinct().join(rows.join(copies, "vid"), "vid", "left")
+    rows = rows.withColumn("copies", F.count("*").over(Window.partitionBy("vid")))
+    joined = masks.select("vid").distinct().join(rows, "vid", "left")
     none = {"chromosome": "0", "pos": 0, "strand": "*", "allele": "*", "copies": 0}
     return joined.select("vid", F.lit(genome).alias("ref_genome"), *(F.coalesce(n, F.lit(x)).alias(n) for n, x in none.items()))
 

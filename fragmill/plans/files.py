@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,15 +19,7 @@ from fragmill.sources import illumina
 query = C.query
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder for files: in the shared folder; only a local session may do without one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="fragmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/files-{uuid.uuid4().hex}"
+_folder = S.shared_folder
 
 
 def _again(df: DataFrame, name: str, compression: str | None = None, **options) -> DataFrame:
@@ -367,8 +356,13 @@ _PAIRS = """SELECT concat('o', o_orderkey) AS id, n, name, p, o_orderkey % 2 = 1
 _SQL_PAIRS = _PAIRS.format(orders="orders", contigs=_CONTIGS.format(nation="nation"))
 
 
+def _order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' keys, dealt to all tasks: aligning takes long for so few bytes as a key has."""
+    return V.table(spark, sf_dir, "orders").select("o_orderkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _query_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_PAIRS.format(orders="{o}", contigs=_CONTIGS.format(nation="{t}")), o=V.table(spark, sf_dir, "orders"), t=V.table(spark, sf_dir, "nation"))
+    return spark.sql(_PAIRS.format(orders="{o}", contigs=_CONTIGS.format(nation="{t}")), o=_order_keys(spark, sf_dir), t=V.table(spark, sf_dir, "nation"))
 
 
 def _aligner(spark: SparkSession, sf_dir: str):
@@ -447,7 +441,7 @@ _MASKS = "SELECT concat('V', o_orderkey) AS vid, concat(substr(sequence, p, 12),
 
 @query(f"SELECT vid, 'hg' AS ref_genome, name AS chromosome, CAST(p + 12 AS INT) AS pos, '+' AS strand, 'A' AS allele, CAST(1 AS BIGINT) AS copies FROM ({_MASKS.format(orders='orders', contigs=_CONTIGS.format(nation='nation'))}) AS m")
 def snp_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masks = spark.sql(_MASKS.format(orders="{o}", contigs=_CONTIGS.format(nation="{t}")), o=V.table(spark, sf_dir, "orders"), t=V.table(spark, sf_dir, "nation")).select("vid", "mask")
+    masks = spark.sql(_MASKS.format(orders="{o}", contigs=_CONTIGS.format(nation="{t}")), o=_order_keys(spark, sf_dir), t=V.table(spark, sf_dir, "nation")).select("vid", "mask")
     return H.snp_places(masks, H.align(H.snp_pairs(masks), _aligner(spark, sf_dir)), "hg")
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import csv
 import io
+import tempfile
+import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 
@@ -327,6 +329,17 @@ def write(df: DataFrame, name: str, path: str, compression: str | None = None, p
 NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for files: in the shared folder; only a local session may do without one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="fragmill-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root}/files-{uuid.uuid4().hex}"
+
+
 #: Folders to which a task writes at the same time, in the rows' order; only beyond that its rows are sorted by folder.
 WRITERS_LIMIT = 100
 

@@ -9,6 +9,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from fragmill.operators import alignments as A
+from fragmill.operators import hits as H
 from fragmill.operators import pairing as P
 from fragmill.operators import recab
 from fragmill.plans import catalogue
@@ -143,3 +145,54 @@ def test_csv_is_written_in_one_task_but_not_counted_in_one(spark, tmp_path):
     recab.write_csv(counted, str(tmp_path / "t"))
     back = spark.read.csv(str(tmp_path / "t"), header=True)
     assert back.select("Qempirical").distinct().count() == 4 and len(list((tmp_path / "t").glob("part-*"))) == 1
+
+
+def counted(contigs, log):
+    """An aligner that notes the pairs that it gets in a file."""
+
+    class Counted(H.ExactAligner):
+        def hits(self, pairs):
+            with open(log, "a") as out:
+                out.write("x\n" * len(pairs))
+            return H.ExactAligner.hits(self, pairs)
+
+    return lambda: Counted(contigs)
+
+
+CONTIG = "ACGTTGCAAGGCTTACGATCCGATTAGGCATCAGTTACGGCATGCCATTGACCTGA"
+
+
+def test_pairs_are_aligned_once(spark, tmp_path):
+    log, contigs = str(tmp_path / "log"), {"c": CONTIG}
+    pairs = spark.createDataFrame([(f"p{k}", CONTIG[3:19], "I" * 16, (CONTIG[30:46] if k % 3 else None), ("I" * 16 if k % 3 else None)) for k in range(30)], "id string, bases1 string, quals1 string, bases2 string, quals2 string")
+    found = H.seqal(pairs, counted(contigs, log))
+    rows = found.collect()
+    assert open(log).read().count("x") == 30
+    assert len(rows) == 30 and sum(not r.duplicate for r in rows) == 1
+    assert H.seqal(pairs, lambda: H.ExactAligner(contigs), discard=True).count() == 1
+
+
+def test_variants_are_aligned_once(spark, tmp_path):
+    log = str(tmp_path / "log")
+    masks = spark.createDataFrame([("v", f"{CONTIG[:12]}[{CONTIG[12]}/N]{CONTIG[13:25]}"), ("w", "NNN[A/C]NNN")], "vid string, mask string")
+    rows = {r.vid: r for r in H.snp_places(masks, H.align(H.snp_pairs(masks), counted({"c": CONTIG}, log)), "hg").collect()}
+    assert open(log).read().count("x") == 4
+    assert (rows["v"].pos, rows["v"].copies, rows["w"].copies) == (13, 1, 0)
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 3])
+def test_duplicates_by_the_best_rows(spark, monkeypatch, limit):
+    monkeypatch.setattr(A, "BEST_LIMIT", limit)
+    dice = random.Random(3)
+    end = lambda: (dice.choice(["c", "d"]), dice.choice([1, 2]), dice.choice([True, False])) if dice.random() < 0.7 else (None, None, None)
+    rows = [(k, f"n{k:03}", *end(), *end(), dice.choice([5, 6, None])) for k in range(300)]
+    pairs = spark.createDataFrame(rows, "row long, name string, ref1 string, pos1 int, rev1 boolean, ref2 string, pos2 int, rev2 boolean, score long")
+    whole = {r.row: r.duplicate for r in A.mark_duplicates(pairs).collect()}
+    assert len(whole) == 300 and 20 < sum(whole.values()) < 290
+    assert {r.row: r.duplicate for r in A.mark_duplicates(pairs, row="row").collect()} == whole
+    assert {r.row for r in A.mark_duplicates(pairs, discard=True).collect()} == {k for k, d in whole.items() if not d}
+
+
+def test_same_rows_have_one_best(spark):
+    pairs = spark.createDataFrame([(k, "n", "c", 1, True, "c", 9, False, 5) for k in range(4)], "row long, name string, ref1 string, pos1 int, rev1 boolean, ref2 string, pos2 int, rev2 boolean, score long")
+    assert sum(not r.duplicate for r in A.mark_duplicates(pairs, row="row").collect()) == 1
