@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 
 from fragmill.functions.reads import hamming, substitutions
 
+#: The fields of a cluster's place, and their order where clusters are brought together.
 LOCATION = ["instrument", "run_number", "lane", "tile", "xpos", "ypos"]
+CLUSTER = ["xpos", "tile", "lane", "instrument", "run_number", "ypos"]
 UNKNOWN, DEFAULT_PROJECT = "unknown", "DefaultProject"
 #: A sample sheet describes one flow cell; above this many rows it isn't one and is joined by shuffle.
 SHEET_LIMIT = 100_000
@@ -86,7 +88,7 @@ def demultiplex(reads: DataFrame, sheet: DataFrame, mismatches: int = 0, no_inde
     """Data reads with sampleid, project, mismatches and destination.
 
     Read 2 of a location is its index read, looked up before anything is shuffled; its sample goes to the location's
-    other reads by one join on the location, and reads above 2 move down by one. Without index reads, lanes of one
+    other reads where all reads of a location meet, and reads above 2 move down by one. Without index reads, lanes of one
     sample name theirs. Locations without an index read get no sample. With ``drop_failed``, reads that failed the
     machine's filter go first. ``project`` and ``sample`` are the destination's folders; reads of no sample have the one.
     """
@@ -100,9 +102,11 @@ def demultiplex(reads: DataFrame, sheet: DataFrame, mismatches: int = 0, no_inde
         tag = F.col("bases") if not trim_last_base else F.expr("substring(bases, 1, length(bases) - 1)")
         fits = F.length(tag).between(7, 12)
         checked = F.when(fits, tag).otherwise(F.raise_error(F.lit("index read must have 7 to 12 bases")))
-        index = where.where("read = 2").select("location", "lane", checked.alias("tag"))
-        found = lookup(index, sheet, mismatches).drop("lane")
-        data = where.where("read != 2").drop("index_seq").join(found.withColumnRenamed("tag", "index_seq"), "location", "left")
+        found = lookup(where.drop("index_seq").withColumn("tag", F.when(F.col("read") == 2, checked)), sheet, mismatches)
+        of_index = ["tag", "sampleid", "sampleproject", "barcode", "sheet_fcid", "mismatches"]
+        index = F.collect_list(F.when(F.col("read") == 2, F.struct(*of_index))).over(Window.partitionBy(*CLUSTER))
+        data = found.withColumn("index", index).drop(*of_index)
+        data = data.where("read != 2").select("*", F.explode_outer("index").alias("i")).select(*(c for c in data.columns if c != "index"), *(F.col(f"i.{c}").alias("index_seq" if c == "tag" else c) for c in of_index))
         number = F.when(F.col("read") > 2, F.col("read") - 1).otherwise(F.col("read"))
     project = sanitise(F.coalesce(F.nullif("sampleproject", F.lit("")), F.lit(DEFAULT_PROJECT)))
     parts = [project, sanitise("sampleid"), *([number.cast("string")] if separate_reads else [])]
@@ -137,14 +141,17 @@ def lane_content_files(sheet: DataFrame) -> list[tuple[str, str]]:
 
 def demux_fragments(found: DataFrame) -> DataFrame:
     """Fragments of demultiplexed reads: one a location and destination, its sequences in read order."""
-    one = F.struct("read", "bases", F.col("quals").alias("qualities"), (~F.coalesce("filter_passed", F.lit(True))).alias("failedVendorQualityChecks"))
-    grouped = found.groupBy("project", "sample", "destination", F.col("location").alias("readName")).agg(F.min("instrument").alias("instrument"), F.min("run_number").cast("string").alias("runId"), F.sort_array(F.collect_list(one)).alias("s"))
-    return grouped.select("project", "sample", "destination", "readName", "instrument", "runId", F.transform("s", lambda x: x.dropFields("read")).alias("sequences"))
+    own = Window.partitionBy(*CLUSTER, "destination", "project", "sample").orderBy("read", "bases", "quals", "failed")
+    one = F.struct("bases", F.col("quals").alias("qualities"), F.col("failed").alias("failedVendorQualityChecks"))
+    lined = found.withColumn("failed", ~F.coalesce("filter_passed", F.lit(True)))
+    lined = lined.select("project", "sample", "destination", *LOCATION, F.row_number().over(own).alias("k"), F.collect_list(one).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("sequences"))
+    return lined.where("k = 1").select("project", "sample", "destination", location().alias("readName"), "instrument", F.col("run_number").cast("string").alias("runId"), "sequences")
 
 
 def demux_counters(found: DataFrame) -> DataFrame:
     """(group, name, value): reads and bases by destination, and reads by the number of mismatches of their barcode."""
-    by = found.groupBy("destination").agg(F.count("*").alias("reads"), F.sum(F.length("bases")).cast("long").alias("bases"))
-    of_sample = by.unpivot("destination", ["reads", "bases"], "name", "value").select(F.col("destination").alias("group"), "name", "value")
-    near = found.where("sampleid is not null").groupBy("mismatches").agg(F.count("*").alias("value"))
-    return of_sample.union(near.select(F.lit("barcode mismatches").alias("group"), F.col("mismatches").cast("string").alias("name"), "value"))
+    by = found.groupBy("destination", F.when(F.col("sampleid").isNotNull(), F.struct("mismatches")).alias("near")).agg(F.count("*").alias("reads"), F.sum(F.length("bases")).cast("long").alias("bases"))
+    row = lambda group, name, value: F.struct(group.alias("group"), name.alias("name"), F.col(value).alias("value"))
+    of_sample = F.array(*(row(F.col("destination"), F.lit(n), n) for n in ("reads", "bases")))
+    near = F.when(F.col("near").isNotNull(), F.array(row(F.lit("barcode mismatches"), F.col("near.mismatches").cast("string"), "reads"))).otherwise(F.array().cast("array<struct<group:string,name:string,value:bigint>>"))
+    return by.select(F.inline(F.concat(of_sample, near))).groupBy("group", "name").agg(F.sum("value").alias("value"))

@@ -42,13 +42,14 @@ FROM {supplier} WHERE s_suppkey <= 40
 UNION ALL SELECT 'FC9', 8, 'alone', NULL, 'ACGTACGT', 'P9'
 """
 
-INDEX_READS = """
+_BARCODE = "substr(translate(md5(concat('bc', (l_orderkey % 6) * 7 + l_orderkey % 8)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 8)"
+_INDEX = "CASE WHEN xpos % 11 = 0 THEN 'GGGGGGGG' WHEN xpos % 7 = 0 THEN concat('NN', substr(bc, 3)) WHEN xpos % 5 = 0 THEN concat('N', substr(bc, 2)) ELSE bc END"
+INDEX_READS = f"""
 SELECT DISTINCT instrument, run_number, lane, tile, xpos, ypos,
-       CASE WHEN xpos % 11 = 0 THEN 'GGGGGGGG' WHEN xpos % 7 = 0 THEN concat('NN', substr(bc, 3)) WHEN xpos % 5 = 0 THEN concat('N', substr(bc, 2)) ELSE bc END AS bases
-FROM (SELECT r.*, substr(translate(md5(concat('bc', (l_orderkey % 6) * 7 + l_orderkey % 8)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 8) AS bc FROM ({reads}) AS r) AS t
+       {_INDEX} AS bases
+FROM (SELECT r.*, {_BARCODE} AS bc FROM ({{reads}}) AS r) AS t
 """
 
-
 #: READS as Spark runs it: rows are numbered while they are narrow, and by the place of their cluster, which is an order's,
 #: so what is brought together by place afterwards needs no shuffle of its own. Sequences are made after that.
 PLACED_READS = """
@@ -104,12 +105,15 @@ def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sheet_sql("{s}").replace('"index"', "`index`"), s=table(spark, sf_dir, "supplier"))
 
 
+#: Data reads, and beside each cluster's first one its index read, as INDEX_READS has it, so that all stay in one place.
+MULTIPLEXED = f"""
+SELECT instrument, run_number, CAST(NULL AS STRING) AS flowcell_id, lane, tile, xpos, ypos, s.read, s.bases, s.quals, s.filter_passed, CAST(NULL AS STRING) AS index_seq
+FROM (
+  SELECT *, explode(CASE WHEN read = 1 THEN array(own, named_struct('read', 2, 'bases', {_INDEX.replace("bc", _BARCODE)}, 'quals', CAST(NULL AS STRING), 'filter_passed', true)) ELSE array(own) END) AS s
+  FROM (SELECT *, named_struct('read', 2 * read - 1, 'bases', bases, 'quals', quals, 'filter_passed', filter_passed) AS own FROM {{reads}}) AS o) AS e
+"""
+
+
 def multiplexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Data reads numbered 1 and 3, and an index read 2 for each location."""
-    from pyspark.sql import functions as F
-
-    data = reads(spark, sf_dir).select("instrument", "run_number", F.lit(None).cast("string").alias("flowcell_id"), "lane", "tile", "xpos", "ypos", (2 * F.col("read") - 1).alias("read"), "bases", "quals", "filter_passed", F.lit(None).cast("string").alias("index_seq"))
-    # INDEX_READS on the first reads of all clusters: one row each
-    index = spark.sql(INDEX_READS.replace("DISTINCT ", "").format(reads="{r}"), r=reads(spark, sf_dir).where("read = 1"))
-    index = index.select("instrument", "run_number", F.lit(None).cast("string").alias("flowcell_id"), "lane", "tile", "xpos", "ypos", F.lit(2).alias("read"), "bases", F.lit(None).cast("string").alias("quals"), F.lit(True).alias("filter_passed"), F.lit(None).cast("string").alias("index_seq"))
-    return data.unionByName(index)
+    return spark.sql(MULTIPLEXED.format(reads="{r}"), r=reads(spark, sf_dir))

@@ -10,6 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from fragmill.operators import alignments as A
+from fragmill.operators import demux as D
 from fragmill.operators import hits as H
 from fragmill.operators import pairing as P
 from fragmill.operators import recab
@@ -196,3 +197,25 @@ def test_duplicates_by_the_best_rows(spark, monkeypatch, limit):
 def test_same_rows_have_one_best(spark):
     pairs = spark.createDataFrame([(k, "n", "c", 1, True, "c", 9, False, 5) for k in range(4)], "row long, name string, ref1 string, pos1 int, rev1 boolean, ref2 string, pos2 int, rev2 boolean, score long")
     assert sum(not r.duplicate for r in A.mark_duplicates(pairs, row="row").collect()) == 1
+
+
+def test_reads_of_a_place_meet_once(spark):
+    """Numbered reads are demultiplexed, counted and made fragments without another shuffle of reads."""
+    found = D.demultiplex(V.multiplexed(spark, DATA), V.sheet(spark, DATA), mismatches=1)
+    assert shuffles(found.select("location", "read", "bases", "quals", "sampleid", "mismatches")) <= 3  # the sheet is numbered by lane, for lanes of one sample and of several
+    assert plan(D.demux_fragments(found)).count("FileScan parquet") == plan(found).count("FileScan parquet")
+    assert plan(D.demux_counters(found)).count("lineitem.parquet") == 1
+
+
+def test_two_index_reads_of_a_place(spark):
+    """Data reads come once for each index read of their place, and without one they come with nulls."""
+    row = lambda read, ypos, bases: ("M1", 1, None, 1, 2, 3, ypos, read, bases, "I" * len(bases), True, None)
+    schema = "instrument string, run_number int, flowcell_id string, lane int, tile int, xpos int, ypos int, read int, bases string, quals string, filter_passed boolean, index_seq string"
+    reads = spark.createDataFrame([row(1, 1, "AC"), row(2, 1, "AAAAAAAA"), row(2, 1, "CCCCCCCC"), row(3, 1, "GT"), row(1, 2, "AC")], schema)
+    sheet = spark.createDataFrame([("f", 1, "s", "AAAAAAAA", "p"), ("f", 1, "t", "GGGGGGGG", "p")], "fcid string, lane int, sampleid string, index string, sampleproject string")
+    found = D.demultiplex(reads, sheet, mismatches=1)
+    rows = sorted((r.ypos, r.read, r.index_seq or "", r.sampleid or "", r.mismatches, r.destination) for r in found.collect())
+    assert rows == [(1, 1, "AAAAAAAA", "s", 0, "p/s"), (1, 1, "CCCCCCCC", "", None, "unknown"), (1, 2, "AAAAAAAA", "s", 0, "p/s"), (1, 2, "CCCCCCCC", "", None, "unknown"), (2, 1, "", "", None, "unknown")]
+    assert sorted((r.destination, r.readName, [s.bases for s in r.sequences]) for r in D.demux_fragments(found).collect()) == [("p/s", "M1:1:1:2:3:1", ["AC", "GT"]), ("unknown", "M1:1:1:2:3:1", ["AC", "GT"]), ("unknown", "M1:1:1:2:3:2", ["AC"])]
+    counts = {(r.group, r.name): r.value for r in D.demux_counters(found).collect()}
+    assert counts == {("p/s", "reads"): 2, ("p/s", "bases"): 4, ("unknown", "reads"): 3, ("unknown", "bases"): 6, ("barcode mismatches", "0"): 2}
