@@ -135,10 +135,12 @@ def quality_text(scores: str) -> Column:
 
 def pack_bases(bases: str) -> Column:
     """struct(n, packed) of a string over ACGT: two bits a base, the first in the highest, 16 bases a word, the last one filled up with A."""
-    digits = f"rpad(translate({bases}, 'ACGT', '0123'), cast(ceil(length({bases}) / 16) * 16 as int), '0')"
-    words = f"transform(sequence(0, cast(length({digits}) div 16 as int) - 1), k -> lpad(conv(substr({digits}, k * 16 + 1, 16), 4, 16), 8, '0'))"
-    good = f"assert_true({bases} rlike '^[ACGT]*$', 'only ACGT can be packed')"
-    return F.expr(f"case when {good} is null then struct(length({bases}) as n, unhex(if(length({bases}) = 0, '', array_join({words}, ''))) as packed) end")
+    digits = "rpad(translate(substr(s, k * 16 + 1, 16), 'ACGT', '0123'), 16, '0')"
+    words = f"transform(sequence(0, cast((length(s) + 15) div 16 as int) - 1), k -> lpad(conv({digits}, 4, 16), 8, '0'))"
+    good = "assert_true(s rlike '^[ACGT]*$', 'only ACGT can be packed')"
+    packed = f"case when {good} is null then struct(length(s) as n, unhex(if(length(s) = 0, '', array_join({words}, ''))) as packed) end"
+    # as a lambda's variable the string is made once
+    return F.expr(f"transform(array({bases}), s -> {packed})[0]")
 
 
 def unpack_bases(packed: str) -> Column:

@@ -186,13 +186,13 @@ def header(contigs: DataFrame, sort_order: str = "coordinate", read_groups: list
 
 
 def write_merged(spark, text: str, lines: DataFrame, path: str) -> None:
-    """One SAM file at ``path``: the header ``text``, then ``lines`` (value) in their order. Parts are written beside it first."""
+    """One SAM file at ``path``: the header ``text``, then ``lines`` (value) in their order. Parts are written beside it first, compressed in haste."""
     from fragmill.sources import formats
 
     parts = f"{path}.parts"
-    lines.write.text(parts)
+    lines.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(parts)
     formats.write_text(spark, f"{parts}/part-", text)
-    formats.concatenate(spark, parts, path)
+    formats.concatenate(spark, parts, path, plain=True)
     fs, folder = formats._file_system(spark, parts)
     fs.delete(folder, True)
 

@@ -427,7 +427,8 @@ def contig_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.create_map(*(x for n in ("MD", "RG") for x in (F.lit(n), F.struct(F.lit("Z").alias("type"), F.col(n.lower()).alias("value")))))
     rows = V.alignments(spark, sf_dir).withColumns({"rnext": F.lit("*"), "pnext": F.lit(0), "tags": tags})
-    lines = rows.select(S.sam_line().alias("value"))
+    # a generator's lines are made once, where the filter on them would make them a second time
+    lines = rows.select(F.explode(F.array(S.sam_line())).alias("value"))
     parsed = S.parse_sam(lines)
     return parsed.select("qname", S.sam_line().alias("line"), S.tag("MD").alias("md"), S.tag("RG").alias("rg"), F.length("seq").alias("n"))
 

@@ -78,10 +78,9 @@ def interleaved_qseq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SEQUENCES)
 def multi_qseq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = [_folder(spark), _folder(spark)]
-    for k, path in enumerate(paths, 1):
-        S.write(C._reads(spark, sf_dir).where(F.col("read") == k), "qseq", path)
-    return _joined(S.read_multi_qseq(spark, paths))
+    path = _folder(spark)
+    S.write_by_folder(C._reads(spark, sf_dir).withColumn("own", F.col("read")), "qseq", path, ["own"])
+    return _joined(S.read_multi_qseq(spark, [f"{path}/1", f"{path}/2"]))
 
 
 @query(f"""SELECT {C.LOCATION} AS location, CASE WHEN count(*) = 2 THEN 'OK' ELSE 'FAILED' END AS status, CASE WHEN count(*) = 2 THEN max(CASE WHEN read = 1 THEN bases END) END AS bases1,
@@ -140,7 +139,7 @@ def read_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT l_orderkey, rn, bases, CAST(32 AS INT) AS n, quals, CAST(list_sum(list_transform(string_split(quals, ''), lambda c: ascii(c) - 33)) AS BIGINT) AS total FROM (SELECT l_orderkey, rn, replace(bases, 'N', 'A') AS bases, quals FROM ({C.READS}) AS q) AS r")
 def packed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = V.reads(spark, sf_dir).select("l_orderkey", F.col("rn").cast("long").alias("rn"), R.pack_bases("translate(bases, 'N', 'A')").alias("b"), R.quality_array("quals").alias("q"))
+    packed = V.reads(spark, sf_dir).select("l_orderkey", F.col("rn").cast("long").alias("rn"), R.pack_bases("replace(bases, 'N', 'A')").alias("b"), R.quality_array("quals").alias("q"))
     total = F.aggregate("q", F.lit(0).cast("long"), lambda t, x: t + x)
     return packed.select("l_orderkey", "rn", R.unpack_bases("b").alias("bases"), (F.length("b.packed") * 4).alias("n"), R.quality_text("q").alias("quals"), total.alias("total"))
 

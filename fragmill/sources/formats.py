@@ -35,8 +35,12 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def _checked(df: DataFrame, good: Column, what: str, mode: str) -> DataFrame:
     if mode == "quarantine":
         return df.where(good)
+    return df.withColumn("value", F.when(good, F.col("value")).otherwise(F.raise_error(_bad(df, what))))
+
+
+def _bad(df: DataFrame, what: str) -> Column:
     where = [F.lit(" in block "), F.col("at")] if "at" in df.columns else []
-    return df.withColumn("value", F.when(good, F.col("value")).otherwise(F.raise_error(F.concat(F.lit(f"bad {what} line"), *where, F.lit(": "), F.col("value")))))
+    return F.concat(F.lit(f"bad {what} line"), *where, F.lit(": "), F.col("value"))
 
 
 def read_qseq(spark: SparkSession, path: str | list[str], encoding: str = "illumina", mode: str = "fail") -> DataFrame:
@@ -140,10 +144,13 @@ def read_prq(spark: SparkSession, path: str | list[str], mode: str = "fail") ->
 
 def parse_sam(lines: DataFrame, mode: str = "fail") -> DataFrame:
     """SAM rows of column ``value``; header lines are skipped; tags become a map of name to struct(type, value)."""
-    lines = lines.where(~F.col("value").startswith("@"))
-    c = F.split("value", "\t")
-    good = (F.size(c) >= 11) & ((c[9] == "*") | (c[10] == "*") | (F.length(c[9]) == F.length(c[10])))
-    df = _checked(lines, good, "SAM", mode).withColumn("c", F.split("value", "\t"))
+    c = F.col("c")
+    good = (F.size(c) >= 11) & ((F.get(c, F.lit(9)) == "*") | (F.get(c, F.lit(10)) == "*") | (F.length(F.get(c, F.lit(9))) == F.length(F.get(c, F.lit(10)))))
+    df = lines.where(~F.col("value").startswith("@")).withColumn("c", F.split("value", "\t"))
+    if mode == "quarantine":
+        df = df.where(good)
+    else:
+        df = df.withColumn("c", F.when(good, c).otherwise(F.raise_error(_bad(df, "SAM"))))
     kinds = {"flag": "int", "pos": "int", "mapq": "int", "pnext": "int", "tlen": "int"}
     tags = F.expr("map_from_entries(transform(slice(c, 12, size(c)), t -> struct(substring(t, 1, 2) as name, struct(substring(t, 4, 1) as type, substring(t, 6) as value) as tag)))")
     return df.select(*(F.col("c")[k].cast(kinds.get(n, "string")).alias(n) for k, n in enumerate(SAM)), tags.alias("tags"))
@@ -273,7 +280,7 @@ def contigs_with_md5(contigs: DataFrame, fasta: DataFrame) -> DataFrame:
 
 
 def text_of(columns: list[Column | str], separator: str = "\t") -> Column:
-    return F.array_join(F.array(*(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in columns)), separator)
+    return F.concat_ws(separator, *(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in columns))
 
 
 def qseq_line() -> Column:
@@ -300,9 +307,10 @@ def sam_line() -> Column:
     """Eleven columns and the tags by name; nulls are ``*`` or 0; a /1 or /2 at the name's end goes."""
     star = lambda n: F.coalesce(F.col(n), F.lit("*"))
     zero = lambda n: F.coalesce(F.col(n), F.lit(0))
-    columns = [F.regexp_replace("qname", "/[0-9]$", ""), zero("flag"), star("rname"), zero("pos"), zero("mapq"), star("cigar"), star("rnext"), zero("pnext"), zero("tlen"), star("seq"), star("qual")]
-    tags = F.expr("transform(array_sort(map_entries(coalesce(tags, map()))), e -> concat(e.key, ':', e.value.type, ':', e.value.value))")
-    return F.concat_ws("\t", text_of(columns), F.when(F.size(tags) > 0, F.array_join(tags, "\t")))
+    numbered = F.substring("qname", -2, 2).isin([f"/{k}" for k in range(10)])
+    columns = [F.when(numbered, F.expr("substring(qname, 1, length(qname) - 2)")).otherwise(F.col("qname")), zero("flag"), star("rname"), zero("pos"), zero("mapq"), star("cigar"), star("rnext"), zero("pnext"), zero("tlen"), star("seq"), star("qual")]
+    tags = F.expr("array_join(transform(sort_array(map_entries(tags)), e -> concat(e.key, ':', e.value.type, ':', e.value.value)), '\t')")
+    return F.concat_ws("\t", text_of(columns), F.nullif(tags, F.lit("")))
 
 
 READERS: dict[str, Callable] = {"qseq": read_qseq, "fastq": read_fastq, "sam": read_sam, "prq": read_prq, "bdg": read_parquet, "avo": read_parquet, "vcf": read_vcf, "rod": read_rod, "fasta": read_fasta, "tsv": read_tsv}
@@ -405,15 +413,21 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
-def concatenate(spark: SparkSession, parts: str, path: str) -> None:
-    """One file of the part files of folder ``parts``, by name; names that begin with _ or . are skipped. Bytes go through the driver."""
+def concatenate(spark: SparkSession, parts: str, path: str, plain: bool = False) -> None:
+    """One file of the part files of folder ``parts``, by name; names that begin with _ or . are skipped. Bytes go through the driver.
+
+    With ``plain``, compressed parts are copied as what they hold.
+    """
     fs, folder = _file_system(spark, parts)
     out_fs, target = _file_system(spark, path)
     out = out_fs.create(target, False)
+    codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration())
     try:
         names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.isFile())
         for name in (n for n in names if n[0] not in "_."):
-            source = fs.open(spark._jvm.org.apache.hadoop.fs.Path(folder, name))
+            part = spark._jvm.org.apache.hadoop.fs.Path(folder, name)
+            source, codec = fs.open(part), codecs.getCodec(part) if plain else None
+            source = codec.createInputStream(source) if codec else source
             spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
             source.close()
     finally:

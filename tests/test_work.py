@@ -3,12 +3,14 @@
 import random
 import re
 import uuid
+from pathlib import Path
 
 import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from fragmill.functions import reads as R
 from fragmill.operators import alignments as A
 from fragmill.operators import demux as D
 from fragmill.operators import hits as H
@@ -219,3 +221,43 @@ def test_two_index_reads_of_a_place(spark):
     assert sorted((r.destination, r.readName, [s.bases for s in r.sequences]) for r in D.demux_fragments(found).collect()) == [("p/s", "M1:1:1:2:3:1", ["AC", "GT"]), ("unknown", "M1:1:1:2:3:1", ["AC", "GT"]), ("unknown", "M1:1:1:2:3:2", ["AC"])]
     counts = {(r.group, r.name): r.value for r in D.demux_counters(found).collect()}
     assert counts == {("p/s", "reads"): 2, ("p/s", "bases"): 4, ("unknown", "reads"): 3, ("unknown", "bases"): 6, ("barcode mismatches", "0"): 2}
+
+
+def test_lines_are_made_once_before_they_are_parsed(spark):
+    assert plan(catalogue.QUERIES["sam_round_trip"](spark, DATA)).count("map_entries(") == 2  # for what is parsed, and for what is returned
+
+
+def test_expression_is_packed_once(spark):
+    df = spark.createDataFrame([("ACGTNACGTACGTACGTAC",), ("",), ("T",)], "b string").select("b", R.pack_bases("replace(b, 'N', 'A')").alias("p"))
+    assert plan(df).count("replace(b") == 1
+    rows = {r.b: (r.p.n, r.p.packed.hex()) for r in df.collect()}
+    assert rows == {"ACGTNACGTACGTACGTAC": (19, "1b06c6c6c4000000"), "": (0, ""), "T": (1, "c0000000")}
+    assert [r.x for r in df.select(R.unpack_bases("p").alias("x")).collect()] == ["ACGTAACGTACGTACGTAC", "", "T"]
+
+
+def test_reads_of_both_files_are_made_once(spark, monkeypatch):
+    calls, write = [], S.write
+    monkeypatch.setattr(S, "write", lambda *a, **k: (calls.append(a[1]), write(*a, **k)))
+    assert catalogue.QUERIES["multi_qseq"](spark, DATA).count() > 100
+    assert calls == ["qseq"]
+
+
+def test_merged_file_of_compressed_parts(spark, tmp_path, monkeypatch):
+    parts, whole = [], S.concatenate
+    monkeypatch.setattr(S, "concatenate", lambda spark, folder, *a, **k: (parts.extend(Path(folder).glob("part-?*")), whole(spark, folder, *a, **k)))
+    lines = spark.range(1000).orderBy("id").select(F.concat(F.lit("line "), "id").alias("value")).repartitionByRange(3, "value")
+    A.write_merged(spark, "@HD\n", lines, str(tmp_path / "x"))
+    text = (tmp_path / "x").read_text().splitlines()
+    assert text[0] == "@HD" and sorted(text[1:]) == sorted(f"line {k}" for k in range(1000))
+    assert len(parts) == 3 and all(p.suffix == ".gz" for p in parts)
+
+
+@pytest.mark.parametrize("line, good", [("a\t0\t*\t0\t0\t*\t*\t0\t0\tAC\tII", True), ("a\t0\t*\t0\t0\t*\t*\t0\t0\tAC\tI", False), ("a\t0\t*\t0\t0\t*\t*\t0\t0\tAC", False), ("a\t0\t*\t0\t0\t*\t*\t0\t0\t*\tI\tXA:A:x", True)])
+def test_sam_lines_are_still_checked(spark, line, good):
+    lines = spark.createDataFrame([("@HD\tVN:1",), (line,)], "value string")
+    assert S.parse_sam(lines, "quarantine").count() == good
+    if good:
+        assert [r.l for r in S.parse_sam(lines).select(S.sam_line().alias("l")).collect()] == [line]
+    else:
+        with pytest.raises(PySparkException, match="bad SAM line"):
+            S.parse_sam(lines).collect()
